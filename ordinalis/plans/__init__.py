@@ -1,0 +1,10 @@
+"""Registered queries: each module binds one family of operators to the given tables."""
+
+from importlib import import_module
+
+FAMILIES = ("evaluation",)
+
+
+def load() -> None:
+    for name in FAMILIES:
+        import_module(f"ordinalis.plans.{name}")
