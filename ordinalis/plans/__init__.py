@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("evaluation",)
+FAMILIES = ("evaluation", "bootstrap")
 
 
 def load() -> None:
