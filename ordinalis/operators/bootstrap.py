@@ -35,25 +35,28 @@ def _spread_replicates(df: DataFrame, by: list[str], replicates: int, seed: int)
     return out.repartition(F.col("b"))
 
 
-def _rng(seed: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=int(seed) & (2**63 - 1)))
+def _generator():
+    """Seed -> numpy generator; nested, so that tasks get it by value and need not import this package."""
+    def make(seed: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=int(seed) & (2**63 - 1)))
+    return make
 
 
 def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Confusion counts of bootstrap replicates, (by, b, n00 ... n22)."""
     rows = _spread_replicates(cm.select(*by, *cf.CELLS), by, replicates, seed)
-    cells = list(cf.CELLS)
+    cells, size, rng = list(cf.CELLS), cf.K, _generator()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = pdf[cells].to_numpy(dtype=np.int64).reshape(-1, cf.K, cf.K)
+            counts = pdf[cells].to_numpy(dtype=np.int64).reshape(-1, size, size)
             sizes = counts.sum(axis=2)
             shares = counts / np.maximum(sizes, 1)[:, :, None]
             shares[:, :, -1] = 1.0 - shares[:, :, :-1].sum(axis=2)
             shares = np.clip(shares, 0.0, 1.0)
             for i, s in enumerate(pdf["_seed"].to_numpy()):
-                counts[i] = _rng(s).multinomial(sizes[i], shares[i])
-            pdf[cells] = counts.reshape(-1, cf.K * cf.K)
+                counts[i] = rng(s).multinomial(sizes[i], shares[i])
+            pdf[cells] = counts.reshape(-1, size * size)
             yield pdf.drop(columns="_seed")
 
     schema = rows.drop("_seed").schema
@@ -75,10 +78,11 @@ def multinomial_lift(hist: DataFrame, by: list[str], replicates: int = 1000, see
     shares = shares or LIFT_SHARES
     blocks = -(-replicates // BLOCK)
     rows = _spread_replicates(hist, by, blocks, seed)   # one row per (group, block of replicates)
-    names = list(shares)
+    names, levels, step, make = list(shares), list(shares.values()), BLOCK, _generator()
+    histograms = [f"h{k}" for k in range(cf.K)]
 
     def block(seed_value: int, arrays: list[np.ndarray], size: int) -> np.ndarray:
-        rng = _rng(seed_value)
+        rng = make(seed_value)
         drawn = [rng.multinomial(a.sum(), a / max(a.sum(), 1), size=size) if a.sum() else np.zeros((size, len(a)), int)
                  for a in arrays]
         hits, everyone = drawn[0], drawn[0] + drawn[1] + drawn[2]
@@ -88,7 +92,7 @@ def multinomial_lift(hist: DataFrame, by: list[str], replicates: int = 1000, see
         upto, upto_hits = everyone.cumsum(axis=1), hits.cumsum(axis=1)
         at = np.arange(size)
         out = []
-        for share in shares.values():
+        for share in levels:
             k = max(1, int(n * share))
             cut = (upto < k).sum(axis=1)
             before = upto[at, cut] - everyone[at, cut]
@@ -99,9 +103,9 @@ def multinomial_lift(hist: DataFrame, by: list[str], replicates: int = 1000, see
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                first = (row["b"] - 1) * BLOCK + 1
-                size = min(BLOCK, replicates - first + 1)
-                arrays = [np.asarray(row[f"h{k}"], dtype=np.int64) for k in range(cf.K)]
+                first = (row["b"] - 1) * step + 1
+                size = min(step, replicates - first + 1)
+                arrays = [np.asarray(row[h], dtype=np.int64) for h in histograms]
                 out = pd.DataFrame(block(row["_seed"], arrays, size), columns=names)
                 for name in by:
                     out[name] = row[name]

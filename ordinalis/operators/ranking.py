@@ -108,12 +108,6 @@ def min_rank(df: DataFrame, by: list[str], value: str, name: str, descending: bo
     return join_on(work, freq, [*by, "_v"], "left").drop("_v")
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Distinct values with the mean of the positions that their copies occupy."""
-    freq = value_frequencies(df, by, value)
-    return freq.select(*by, value, (F.col("cum") - F.col("w") + (F.col("w") + 1) / 2.0).alias(name))
-
-
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group, by running counts over the distinct values."""
     if fits_in_task(df, by):

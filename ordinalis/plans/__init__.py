@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("evaluation", "bootstrap")
+FAMILIES = ("evaluation", "bootstrap", "prep", "assoc")
 
 
 def load() -> None:
