@@ -81,3 +81,14 @@ def alert_status(value: Column, lo: Column, hi: Column) -> Column:
 
 def drifting(status: Column) -> Column:
     return status.isin("drift_low", "drift_high")
+
+
+def utc_instant(c: Column) -> Column:
+    """A zone-less timestamp read as UTC, whatever the session time zone is (event-time columns need an instant)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    return F.timestamp_micros(micros)
+
+
+def utc_wall(c: Column) -> Column:
+    """Inverse of `utc_instant`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01").cast("timestamp_ntz"))

@@ -141,17 +141,17 @@ def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str
     df, keys = _with_group(df.select(*by, score, tie), by)
     df = df.filter(F.col(score).isNotNull())
     wanted = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), k.cast("long").alias("k"))
-                                 for w, k in ks.items()])).alias("_t")
+                                 for w, k in ks.items()])).alias("_want")
     if fits_in_task(df, keys):
         whole = W.partitionBy(*keys)
         placed = df.select("*", F.row_number().over(whole.orderBy(score, tie)).alias("_pos"),
                            F.count(F.lit(1)).over(whole).alias("n"))
-        return placed.select("*", wanted).filter(F.col("_pos") == F.col("_t.k")).select(
-            *by, "n", "_t.which", "_t.k", F.col(score).alias("k_score"), F.col(tie).alias("k_tie"))
+        return placed.select("*", wanted).filter(F.col("_pos") == F.col("_want.k")).select(
+            *by, "n", "_want.which", "_want.k", F.col(score).alias("k_score"), F.col(tie).alias("k_tie"))
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     sketch = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx(score, grid, F.lit(SKETCH)).alias("_grid"))
-    target = sketch.select(*keys, "n", "_grid", wanted).select(*keys, "n", "_grid", "_t.which", "_t.k")
+    target = sketch.select(*keys, "n", "_grid", wanted).select(*keys, "n", "_grid", "_want.which", "_want.k")
     slot = F.floor(F.col("k") * GRID / F.col("n"))
     lo, hi = slot - 1, slot + 2
     target = target.filter((F.col("k") >= 1) & (F.col("k") <= F.col("n"))).select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("evaluation", "bootstrap", "prep", "assoc")
+FAMILIES = ("evaluation", "bootstrap", "prep", "assoc", "ordering", "features", "monitoring", "modelling")
 
 
 def load() -> None:
