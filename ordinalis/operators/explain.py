@@ -106,12 +106,13 @@ def permutation_importance(score: Callable[[DataFrame], DataFrame], df: DataFram
     by = by or []
     base = settle(score(with_donor(df.select(key, *by, "features"), key, seed)))
     own, donated = vector_to_array("features"), vector_to_array("_donated")
-    spread = base.select(*by, *[F.col(f"p{k}").alias(f"_b{k}") for k in range(3)], own.alias("_a"), donated.alias("_d"),
+    spread = base.select(*by, *[F.col(f"p{k}").alias(f"_own{k}") for k in range(3)],
+                         own.alias("_own"), donated.alias("_given"),
                          F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("pos"))
-    swapped = F.transform("_a", lambda v, i: F.when(i == F.col("pos"), F.col("_d").getItem(i)).otherwise(v))
-    moved = score(spread.select(*by, "pos", "_b0", "_b1", "_b2", array_to_vector(swapped).alias("features")))
+    swapped = F.transform("_own", lambda v, i: F.when(i == F.col("pos"), F.col("_given").getItem(i)).otherwise(v))
+    moved = score(spread.select(*by, "pos", "_own0", "_own1", "_own2", array_to_vector(swapped).alias("features")))
     wide = moved.groupBy(*by, "pos").agg(F.count(F.lit(1)).alias("n"),
-                                         *[F.avg(F.abs(F.col(f"p{k}") - F.col(f"_b{k}"))).alias(f"m{k}") for k in range(3)])
+                                         *[F.avg(F.abs(F.col(f"p{k}") - F.col(f"_own{k}"))).alias(f"m{k}") for k in range(3)])
     arms = F.explode(F.array(*[F.struct(F.lit(k).alias("class_idx"), F.col(f"m{k}").alias("mean_abs_change")) for k in range(3)])).alias("_k")
     feature = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("pos") + 1)
     out = wide.select(*by, "n", feature.alias("feature"), arms).select(*by, "_k.class_idx", "feature", "_k.mean_abs_change", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ordinalis.constants import ADDON_COLUMNS, CLASSES, FORBIDDEN_TERMS, SERVICE_COLUMNS, STOPWORDS
@@ -10,8 +11,8 @@ from ordinalis.operators import encoding, features, text
 from ordinalis.operators.prep import c
 from ordinalis.plans.prep import DATASET, KEY, RAW_COLUMNS, customers, dataset
 from ordinalis.plans.registry import query, r6
-from ordinalis.session import scratch_path, settle
 from ordinalis.plans.views import CUSTOMERS, LABELLED, labelled_orders, sql, table, u_sql
+from ordinalis.session import scratch_path, settle
 
 _SERVICES = [x for x in SERVICE_COLUMNS if x in RAW_COLUMNS]
 _yes = lambda n: f"""coalesce(lower(trim("{n}")) IN ('yes','y','true','1'), false)"""
@@ -116,18 +117,21 @@ def encoded(spark, sf):
     return model, plan, base
 
 
-@query("one_hot")
+_LEVELS = [("Contract", ["Month-to-month", "One year", "Two year"]),
+           ("Payment Method", ["Bank transfer (automatic)", "Credit card (automatic)", "Electronic check", "Mailed check"])]
+
+
+@query("one_hot", sql(DATASET, """SELECT "Customer ID", concat_ws(',', """ + ", ".join(
+    f"""("{n}"='{v}')::int""" for n, levels in _LEVELS for v in levels) + """) AS bits FROM ds"""))
 def one_hot(spark, sf):
-    base = dataset(spark, sf).select(KEY, "Contract", "Payment Method")
-    plan = {"numeric": [], "onehot": ["Contract", "Payment Method"], "ordinal": []}
-    model = encoding.feature_pipeline(plan).fit(base)
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(base).select(KEY, vector_to_array("features").alias("features"))
+    base = dataset(spark, sf).select(KEY, *[c(n) for n, _ in _LEVELS])
+    model = encoding.feature_pipeline({"numeric": [], "onehot": [n for n, _ in _LEVELS], "ordinal": []}).fit(base)
+    bits = F.transform(vector_to_array("features"), lambda v: v.cast("int").cast("string"))
+    return model.transform(base).select(KEY, F.array_join(bits, ",").alias("bits"))
 
 
 @query("fit_encode")
 def fit_encode(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     model, plan, base = encoded(spark, sf)
     names = encoding.encoded_names(model, base, plan)
     out = model.transform(base).select(KEY, vector_to_array("features").alias("features"))

@@ -85,7 +85,7 @@ def normalize_columns(spark, sf):
     return tables.normalize_columns(customers(spark, sf).withColumnsRenamed(ALIASED))
 
 
-@query("require_columns")
+@query("require_columns", sql(CUSTOMERS, 'SELECT "Customer ID", "Satisfaction Score" FROM cust'))
 def require_columns(spark, sf):
     return tables.require_columns(customers(spark, sf), ["Satisfaction Score"]).select(KEY, "Satisfaction Score")
 
