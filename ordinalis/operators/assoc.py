@@ -26,8 +26,13 @@ def categorical_columns(df: DataFrame, target: str) -> list[str]:
 
 def pearson(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Pairwise-complete Pearson r of every column with the target: one pass, one output row per column."""
-    t = c(target).cast("double")
-    wide = df.agg(*[F.corr(F.when(t.isNotNull(), c(x).cast("double")), F.when(c(x).isNotNull(), t)).alias(x) for x in columns])
+    def r(x: str) -> Column:
+        # corr() itself fails on a constant column under ANSI arithmetic
+        a = F.when(c(target).isNotNull(), c(x).cast("double"))
+        b = F.when(c(x).isNotNull(), c(target).cast("double"))
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+    wide = df.agg(*[r(x).alias(x) for x in columns])
     return melt(wide, {x: c(x) for x in columns}, "feature", "pearson_r")
 
 
