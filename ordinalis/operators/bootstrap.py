@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ordinalis.functions import confusion as cf
 from ordinalis.functions.hashing import uniform
 from ordinalis.functions.scalar import ratio
-from ordinalis.operators.evaluation import LIFT_SHARES, METRIC_NAMES, evaluate, to_long, top_share_size
+from ordinalis.operators.evaluation import LIFT_SHARES, METRIC_NAMES, confusion_counts, evaluate, to_long, top_share_size
 from ordinalis.operators.ranking import join_on, with_position
 from ordinalis.session import settle, small_side
 
@@ -63,12 +63,29 @@ def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, see
     return rows.mapInPandas(draw, schema)
 
 
-def score_histogram(df: DataFrame, by: list[str]) -> DataFrame:
-    """Per group three arrays of LIFT_BINS class counts over p0, highest scores first."""
+def score_cells(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, slot, y, yp, n): the one pass over the rows that the multinomial bootstrap needs.
+
+    At most LIFT_BINS * 9 rows per group; slot 0 holds the highest scores.
+    """
     slot = F.least(F.greatest(F.floor((1.0 - F.col("p0")) * LIFT_BINS), F.lit(0)), F.lit(LIFT_BINS - 1)).cast("int")
-    cells = df.groupBy(*by, slot.alias("slot")).agg(*[F.count_if(F.col("y") == k).alias(f"c{k}") for k in range(cf.K)])
+    return df.groupBy(*by, slot.alias("slot"), "y", "yp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cells_to_counts(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion counts from score cells."""
+    n = F.col("n")
+    return cells.groupBy(*by).agg(*[
+        F.coalesce(F.sum(F.when((F.col("y") == i) & (F.col("yp") == j), n)), F.lit(0)).alias(f"n{i}{j}")
+        for i in range(cf.K) for j in range(cf.K)], F.sum("n").alias("n_rows"))
+
+
+def cells_to_histogram(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Per group three arrays of class counts over the slots, highest scores first."""
+    per_slot = cells.groupBy(*by, "slot").agg(*[
+        F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(cf.K)])
     packed = F.sort_array(F.collect_list(F.struct("slot", *[f"c{k}" for k in range(cf.K)])))  # at most LIFT_BINS items
-    out = cells.groupBy(*by).agg(packed.alias("_h"))
+    out = per_slot.groupBy(*by).agg(packed.alias("_h"))
     return out.select(*by, *[F.col(f"_h.c{k}").alias(f"h{k}") for k in range(cf.K)])
 
 
@@ -171,19 +188,24 @@ def replicate_metrics(counts: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap_all(df: DataFrame, by: list[str], replicates: int = 1000, ci: float = 0.95, seed: int = 42,
                   mode: str = "multinomial", probabilities: bool = True) -> DataFrame:
     """(by, metric, value, ci_lo, ci_hi, n_resamples, ci) for all metrics; every metric sees the same replicates."""
+    counts = None
     if mode == "index":
         drawn = settle(index_weights(df, by, replicates, seed))  # read by both metric families
         reps = replicate_metrics(weighted_counts(drawn, by), by)
         lifts = weighted_lift(drawn, by) if probabilities else None
     elif mode == "multinomial":
-        cm = small_side(df.groupBy(*by).agg(*cf.counts()))
-        reps = replicate_metrics(multinomial_counts(cm, by, replicates, seed), by)
-        lifts = multinomial_lift(settle(score_histogram(df, by)), by, replicates, seed) if probabilities else None
+        if probabilities:
+            cells = settle(score_cells(df, by))
+            counts = settle(cells_to_counts(cells, by))
+            lifts = multinomial_lift(cells_to_histogram(cells, by), by, replicates, seed)
+        else:
+            counts, lifts = settle(confusion_counts(df, by)), None
+        reps = replicate_metrics(multinomial_counts(counts, by, replicates, seed), by)
     else:
         raise ValueError(f"unknown bootstrap mode {mode!r}")
     if lifts is not None:
         reps = reps.unionByName(to_long(lifts, [*by, "b"]))
-    point = to_long(evaluate(df, by, probabilities), by)
+    point = to_long(evaluate(df, by, probabilities, counts), by)
     point = point.filter(F.col("metric").isin(*METRIC_NAMES.values()))
     return (join_on(point, intervals(reps, by, ci), [*by, "metric"], "left")
             .withColumn("n_resamples", F.lit(replicates)).withColumn("ci", F.lit(ci)))

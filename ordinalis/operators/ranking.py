@@ -69,12 +69,15 @@ def _offsets(tagged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataF
 
 
 def with_position(df: DataFrame, by: list[str], order: list[Column], name: str = "pos",
-                  running: dict[str, Column] | None = None) -> DataFrame:
-    """Add the 1-based position within `by` under `order`, and running sums of `running` expressions."""
+                  running: dict[str, Column] | None = None, fits: bool | None = None) -> DataFrame:
+    """Add the 1-based position within `by` under `order`, and running sums of `running` expressions.
+
+    `fits` skips the size check where the caller already knows the largest group.
+    """
     running = running or {}
     df, keys = _with_group(df, by)
     added = [] if by else keys
-    if fits_in_task(df, keys):
+    if fits_in_task(df, keys) if fits is None else fits:
         over = W.partitionBy(*keys).orderBy(*order)
         upto = over.rowsBetween(W.unboundedPreceding, 0)
         sums = [F.sum(expr).over(upto).alias(label) for label, expr in running.items()]
@@ -132,7 +135,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         (F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p) for p in probs])
 
 
-def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column]) -> DataFrame:
+def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column],
+                fits: bool | None = None) -> DataFrame:
     """The k-th row of every group under (score, tie) ascending, for several k given as Columns over `n`.
 
     Returns (by, n, which, k, k_score, k_tie).  No full sort: a mergeable sketch brackets the k-th score of each
@@ -142,7 +146,7 @@ def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str
     df = df.filter(F.col(score).isNotNull())
     wanted = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), k.cast("long").alias("k"))
                                  for w, k in ks.items()])).alias("_want")
-    if fits_in_task(df, keys):
+    if fits_in_task(df, keys) if fits is None else fits:
         whole = W.partitionBy(*keys)
         placed = df.select("*", F.row_number().over(whole.orderBy(score, tie)).alias("_pos"),
                            F.count(F.lit(1)).over(whole).alias("n"))
@@ -182,16 +186,17 @@ def wide_thresholds(kth: DataFrame, by: list[str], names: list[str]) -> DataFram
     return keyed.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
-def attach_thresholds(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column]) -> DataFrame:
+def attach_thresholds(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column],
+                      fits: bool | None = None) -> DataFrame:
     """Rows with a boolean per k: is the row among the first k of its group?"""
-    if fits_in_task(df, by):
+    if fits_in_task(df, by) if fits is None else fits:
         keyed, keys = _with_group(df, by)
         whole = W.partitionBy(*keys)
         placed = keyed.select("*", F.row_number().over(whole.orderBy(F.col(score).asc_nulls_last(), tie)).alias("_pos"),
                               F.count(score).over(whole).alias("n"))
         flags = [(F.col(score).isNotNull() & (F.col("_pos") <= k)).alias(w) for w, k in ks.items()]
         return placed.select(*df.columns, *flags)
-    wide = small_side(wide_thresholds(kth_element(df, by, score, tie, ks), by, list(ks)))
+    wide = small_side(wide_thresholds(kth_element(df, by, score, tie, ks, False), by, list(ks)))
     keyed, keys = _with_group(df, by)
     out = join_on(keyed, wide.withColumnRenamed("n", "_n"), keys, "left")
     for w in ks:

@@ -41,7 +41,7 @@ def flagship(spark, sf):
 
 @query("confusion_matrix", sql(LONG, frag.cm_cte("cm", "scored_long", SB), "SELECT * FROM cm"))
 def confusion_matrix(spark, sf):
-    return ev.confusion_counts(scored_long(spark, sf), BY)
+    return ev.confusion_counts(scored_long(spark, sf), BY).drop("n_rows")
 
 
 @query("confusion_rownorm", sql(LONG, frag.cm_cte("cm", "scored_long", SB),
