@@ -28,20 +28,29 @@ def u_sql(tag: str, key: str, seed: str = "42") -> str:
 
 # --- scored orders -----------------------------------------------------------------------------------------
 
-def _candidates(y: Column, key: Column, cust: Column, price: Column, modulus: int, step: int) -> list[Column]:
-    cents = F.round(price * 100).cast("bigint")
-    hit = key % modulus != 0
-    def bonus(k: int) -> Column:
-        return F.when((y == k) & hit, 60).otherwise(0)
-    return [(1 + cents % 97 + bonus(0)).cast("double"),
-            (1 + (key * step) % 89 + bonus(1)).cast("double"),
-            (1 + (key * 17 + cust) % 83 + bonus(2)).cast("double")]
-
-
-def _model(name: str, parts: list[Column]) -> Column:
-    a, b, c = parts
-    s = a + b + c
-    return F.struct(F.lit(name).alias("model"), argmax3(a, b, c).alias("yp"),
+# model -> (modulus of the rows it gets wrong more often, step of the second score)
+MODELS = {"C1": (3, 31), "C2": (2, 13)}
+
+
+def _with_scores(o: DataFrame, names: list[str]) -> DataFrame:
+    """Raw scores a, b, c and their sum per model as columns, each computed once."""
+    y, key = F.col("y"), F.col("id")
+    o = o.withColumn("cents", F.round(F.col("price") * 100).cast("bigint"))
+    raw, sums = {}, {}
+    for m in names:
+        modulus, step = MODELS[m]
+        def bonus(k: int) -> Column:
+            return F.when((y == k) & (key % modulus != 0), 60).otherwise(0)
+        raw[f"a_{m}"] = (1 + F.col("cents") % 97 + bonus(0)).cast("double")
+        raw[f"b_{m}"] = (1 + (key * step) % 89 + bonus(1)).cast("double")
+        raw[f"c_{m}"] = (1 + (key * 17 + F.col("cust")) % 83 + bonus(2)).cast("double")
+        sums[f"s_{m}"] = F.col(f"a_{m}") + F.col(f"b_{m}") + F.col(f"c_{m}")
+    return o.withColumns(raw).withColumns(sums)
+
+
+def _model(m: str) -> Column:
+    a, b, c, s = (F.col(f"{x}_{m}") for x in "abcs")
+    return F.struct(F.lit(m).alias("model"), argmax3(a, b, c).alias("yp"),
                     (a / s).alias("p0"), (b / s).alias("p1"), (c / s).alias("p2"))
 
 
@@ -49,8 +58,8 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with satisfaction score, both class codes and the evaluation split."""
     o = table(spark, sf_dir, "orders")
     sat = F.substring("o_orderpriority", 1, 1).cast("int")
-    u = uniform(42, "split", F.col("o_orderkey"))
-    return o.select(
+    u = F.col("_u")
+    return o.withColumn("_u", uniform(42, "split", F.col("o_orderkey"))).select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("ts"), sat.alias("sat"),
         F.when(sat <= 2, 0).when(sat <= 4, 1).otherwise(2).alias("y"),
@@ -59,20 +68,20 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("silent_test").alias("split"))
 
 
+_SCORED_COLUMNS = ("id", "cust", "ts", "sat", "status", "split", "y", "y_base")
+
+
 def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, model, y, yp, p0..p2, split, ...) for the two models; the explode adds no shuffle."""
-    o = labelled_orders(spark, sf_dir)
-    args = (F.col("y"), F.col("id"), F.col("cust"), F.col("price"))
-    both = F.explode(F.array(_model("C1", _candidates(*args, 3, 31)), _model("C2", _candidates(*args, 2, 13))))
-    return o.select("*", both.alias("_m")).select(
-        "id", "cust", "ts", "sat", "status", "split", "y", "y_base", "_m.*")
+    o = _with_scores(labelled_orders(spark, sf_dir), list(MODELS))
+    both = F.explode(F.array(*[_model(m) for m in MODELS]))
+    return o.select(*_SCORED_COLUMNS, both.alias("_m")).select(*_SCORED_COLUMNS, "_m.*")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the first model only."""
-    o = labelled_orders(spark, sf_dir)
-    m = _model("C1", _candidates(F.col("y"), F.col("id"), F.col("cust"), F.col("price"), 3, 31))
-    return o.select("*", m.alias("_m")).select("id", "cust", "ts", "sat", "status", "split", "y", "y_base", "_m.*")
+    o = _with_scores(labelled_orders(spark, sf_dir), ["C1"])
+    return o.select(*_SCORED_COLUMNS, _model("C1").alias("_m")).select(*_SCORED_COLUMNS, "_m.*")
 
 
 def with_segments(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
