@@ -195,8 +195,10 @@ def isotonic_recalibrate(val: DataFrame, df: DataFrame) -> DataFrame:
     """Add q0..q2: one monotone map per class fitted on `val`, rows renormalised.  yp stays as it is."""
     out = df
     for k in range(K):
-        fit_rows = val.select(F.col(f"p{k}").alias("_x"), (F.col("y") == k).cast("double").alias("_h"))
-        model = IsotonicRegression(featuresCol="_x", labelCol="_h", predictionCol=f"q{k}").fit(fit_rows)
+        # equal scores collapse to one weighted point before the fit, which leaves the fit as it is
+        fit_rows = val.groupBy(F.col(f"p{k}").alias("_x")).agg(
+            F.avg((F.col("y") == k).cast("double")).alias("_h"), F.count(F.lit(1)).cast("double").alias("_n"))
+        model = IsotonicRegression(featuresCol="_x", labelCol="_h", weightCol="_n", predictionCol=f"q{k}").fit(fit_rows)
         out = model.transform(out.withColumn("_x", F.col(f"p{k}"))).drop("_x")
     return _normalised(out)
 
