@@ -55,11 +55,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Settle an aggregated table and mark it for broadcast only if it is really small.
 
     Larger tables come back unmarked, so the join falls to AQE (sort-merge with skew splitting).
     """
+    limit = BROADCAST_ROWS if limit is None else limit
     settled = settle(df)
     if settled.limit(limit + 1).count() <= limit:
         return F.broadcast(settled)
