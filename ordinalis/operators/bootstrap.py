@@ -32,7 +32,9 @@ def _spread_replicates(df: DataFrame, by: list[str], replicates: int, seed: int)
     """One row per (group, replicate) with a seed that depends on the group and replicate only."""
     out = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     out = out.withColumn("_seed", F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in by], F.col("b")))
-    return out.repartition(F.col("b"))
+    # an explicit number of partitions: the rows are few but costly, and AQE would merge them into one task
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return out.repartition(cores, *[F.col(k) for k in by], F.col("b"))
 
 
 def _generator():
