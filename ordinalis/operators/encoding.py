@@ -50,35 +50,48 @@ def ordinal_dictionary(fit_on: DataFrame, column: str) -> DataFrame:
     return with_position(levels, [], [F.col("level").asc()], "_p").select("level", (F.col("_p") - 1).cast("int").alias("code"))
 
 
-def ordinal_encode(df: DataFrame, column: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """Replace a string column by its sorted index; unknown and missing values give -1."""
-    codes = ordinal_dictionary(fit_on if fit_on is not None else df, column)
+def ordinal_encode(df: DataFrame, column: str, fit_on: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """Replace a string column by its sorted index; unknown and missing values give -1.
+
+    `codes` is a stored dictionary; without it one is built from `fit_on` (or the table itself).  The dictionary is joined,
+    never collected, so a column may have any number of levels.
+    """
+    if codes is None:
+        codes = ordinal_dictionary(fit_on if fit_on is not None else df, column)
     out = df.join(codes, c(column) == F.col("level"), "left")
     return out.withColumn(column, F.coalesce("code", F.lit(-1))).drop("level", "code")
 
 
+def encode_ordinals(df: DataFrame, columns: list[str], fit_on: DataFrame) -> DataFrame:
+    """Ordinal codes of several columns, fitted on `fit_on`; run it before the feature pipeline."""
+    codes = {x: ordinal_dictionary(fit_on, x) for x in columns}
+    for x in columns:
+        df = ordinal_encode(df, x, codes=codes[x])
+    return df
+
+
 def feature_pipeline(plan: dict[str, list[str]], output: str = "features") -> Pipeline:
     """Scaled numbers, one-hot levels (unknown = all zeros) and ordinal codes assembled into one vector.
 
-    Fitted with `.fit(train)`; the fitted model is saved and loaded with `save` / `PipelineModel.load`.
+    Ordinal columns must have been coded by `encode_ordinals`; the indexer only sees columns with few levels.  Fitted with `.fit(train)`; the fitted model is saved and loaded with `save` / `PipelineModel.load`.
     """
     numbers, few, many = plan["numeric"], plan["onehot"], plan["ordinal"]
     fills = [f"coalesce(cast(`{x}` as double), 0.0) as `f_{x}`" for x in numbers]
-    fills += [f"coalesce(cast(`{x}` as string), '__missing__') as `f_{x}`" for x in few + many]
+    fills += [f"coalesce(cast(`{x}` as string), '__missing__') as `f_{x}`" for x in few]
+    fills += [f"cast(`{x}` as double) as `f_{x}`" for x in many]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__")]
     parts = []
     if numbers:
         stages += [VectorAssembler(inputCols=[f"f_{x}" for x in numbers], outputCol="_num"),
                    StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True)]
         parts.append("_scaled")
-    if few + many:
+    if few:
         # one indexer for all columns: a single pass over the training rows
-        stages.append(StringIndexer(inputCols=[f"f_{x}" for x in few + many], outputCols=[f"i_{x}" for x in few + many],
+        stages.append(StringIndexer(inputCols=[f"f_{x}" for x in few], outputCols=[f"i_{x}" for x in few],
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-    if few:
         # the invalid slot is the dropped one, so every level seen in training keeps its own column
         stages.append(OneHotEncoder(inputCols=[f"i_{x}" for x in few], outputCols=[f"o_{x}" for x in few], dropLast=True))
-    parts += [f"o_{x}" for x in few] + [f"i_{x}" for x in many]
+    parts += [f"o_{x}" for x in few] + [f"f_{x}" for x in many]
     stages.append(VectorAssembler(inputCols=parts, outputCol=output))
     return Pipeline(stages=stages)
 

@@ -113,6 +113,7 @@ def encoded(spark, sf):
     base = features.derive_all(dataset(spark, sf)).join(labelled_orders(spark, sf).select(F.col("id").alias(KEY), "split"), KEY)
     base = settle(base)
     plan = encoding.classify_columns(base, [x for x in base.columns if x not in (KEY, "split") and not x.startswith("NPS_")])
+    base = encoding.encode_ordinals(base, plan["ordinal"], base.filter("split <> 'silent_test'"))
     model = encoding.feature_pipeline(plan).fit(base.filter("split <> 'silent_test'"))
     return model, plan, base
 

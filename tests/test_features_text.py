@@ -67,11 +67,12 @@ def test_encoding(spark):
     plan = encoding.classify_columns(df, ["Age", "Contract", "Many", "City"])
     assert plan == {"numeric": ["Age"], "onehot": ["Contract"], "ordinal": ["Many"], "dropped": ["City"]}
     train = df.filter("Contract <> 'Two year' and Many <> '3'")
-    model = encoding.feature_pipeline(plan).fit(train)
-    out = model.transform(df).filter("Contract = 'Two year'").select("features").first().features.toArray()
+    coded = encoding.encode_ordinals(df, ["Many"], train)
+    model = encoding.feature_pipeline(plan).fit(encoding.encode_ordinals(train, ["Many"], train))
+    out = model.transform(coded).filter("Contract = 'Two year'").select("features").first().features.toArray()
     names = encoding.encoded_names(model, df, plan)
     assert names == ["Age", "Contract_Month-to-month", "Contract_One year", "Many"] and len(out) == 4
-    assert list(out[1:3]) == [0.0, 0.0]
+    assert list(out[1:3]) == [0.0, 0.0] and out[3] == -1.0
     coded = encoding.ordinal_encode(df.select(KEY, "Many"), "Many", df.filter("Many <> '3'"))
     assert coded.filter("Many = -1").count() == df.filter("Many = '3'").count()
     scaled = encoding.standard_scale(df, ["Age"]).agg(F.avg("Age"), F.stddev_pop("Age")).first()
