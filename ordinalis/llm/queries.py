@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import mixing, quality
+from ordinalis.llm import mixing, quality, toxicity
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -17,6 +17,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
