@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ordinalis.functions.hashing import uniform
 from ordinalis.llm.common import settle
+from ordinalis.session import small_side
 
 #: Means above this are drawn as a sum of equal parts, so that exp(-mean) stays a normal number.
 PART_MEAN = 500.0
@@ -61,7 +62,7 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: i
         wanted = whole.select(F.col("n").cast("double") / F.col("w")).scalar()
     else:
         wanted = whole.select(F.lit(float(total)) / F.col("w")).scalar()
-    rates = settle(rates.where("__w > 0").select("__source", (wanted * F.col("__w") / F.col("__n")).alias("__rate")))
+    rates = small_side(rates.where("__w > 0").select("__source", (wanted * F.col("__w") / F.col("__n")).alias("__rate")))
     drawn = base.join(rates, base[source].eqNullSafe(rates["__source"])).withColumn(
         "__copies", poisson(F.col("__rate"), lambda part: uniform(seed, "poisson", F.col(doc_id), part)))
     copies = (drawn.where("__copies > 0")
