@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordinalis.llm import mixing, quality, toxicity
+from ordinalis.llm import mixing, near_dup, quality, toxicity
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -73,3 +73,24 @@ copies AS (SELECT r.doc_id, count(*) AS n FROM draws r JOIN steps s ON s.source
 many AS (SELECT d.*, unnest(generate_series(1, n))::INT AS copy FROM documents d JOIN copies USING (doc_id))
 SELECT *, ('0x' || substr(md5('17:shuffle:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key FROM many
 """
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_near_duplicates"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM twoway UNION SELECT r.a, e.b FROM reach r JOIN twoway e ON e.a = r.b),
+roots AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
