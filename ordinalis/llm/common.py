@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinalis.session import settle, shared_dir  # noqa: F401
@@ -71,3 +71,35 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def bucket_links(keyed: DataFrame, confirm, pivots: int = 16) -> DataFrame:
+    """Confirmed links (a, b) between members of common buckets, enough to give the right components.
+
+    `keyed` has (key, c): bucket and member. `confirm(pairs)` returns the pairs (a, b) that hold. Every member is compared
+    with its bucket's smallest member first. A bucket stays open while members that have not been compared with each other
+    lie in different components; its members are then compared with the next `pivots` smallest ones, and so on until no
+    bucket is open. A group of copies thus costs one comparison per member, and no pair that could join two components is
+    left out.
+    """
+    low = keyed.groupBy("key").agg(F.min("c").alias("m"), F.count("*").alias("size")).where("size > 1")
+    stars = settle(keyed.join(low, "key").where("c <> m"))
+    tried = settle(stars.select(F.col("m").alias("a"), F.col("c").alias("b")).distinct())
+    links = settle(confirm(tried))
+    left = stars.where("size > 2").select("key", "c")
+    while True:
+        roots = components(links).select(F.col("node").alias("of"), F.col("component").alias("root"))
+        placed = left.join(roots, F.col("c") == F.col("of"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        opened = settle(placed.join(mixed, "key"))
+        if opened.isEmpty():
+            return links
+        place = F.row_number().over(Window.partitionBy("key").orderBy("c"))
+        heads = settle(opened.withColumn("place", place).where(F.col("place") <= pivots)
+                       .select("key", F.col("c").alias("p"), F.col("root").alias("proot")))
+        pairs = opened.join(heads, "key").where("p < c and root <> proot").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+        fresh = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = settle(links.unionByName(confirm(fresh)))
+        tried = settle(tried.unionByName(fresh))
+        last = heads.groupBy("key").agg(F.max("p").alias("last"))
+        left = opened.join(last, "key").where("c > last").select("key", "c")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordinalis.llm import mixing, near_dup, quality, toxicity
+from ordinalis.llm import decontaminate, line_dedup, mixing, near_dup, quality, toxicity
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -94,3 +95,55 @@ roots AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.md5("text").alias("kept_md5"))
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, l[i] AS line, i - 1 AS line_no, array_to_string(list_filter(string_split(lower(replace(replace(l[i], chr(9), ' '), chr(13), ' ')), ' '),
+    lambda x: x <> ''), ' ') AS norm FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
+able AS (SELECT * FROM lines WHERE length(norm) >= 30),
+classes AS (SELECT norm, row_number() OVER (ORDER BY min(doc_id * 1000000 + line_no)) AS c, min(doc_id * 1000000 + line_no) AS rep FROM able GROUP BY norm),
+sets AS (SELECT DISTINCT c, s FROM (SELECT c, substr(norm, unnest(range(1, length(norm) - 3)), 5) AS s FROM classes)),
+sizes AS (SELECT c, count(*) AS n FROM sets GROUP BY 1),
+-- A set's rarest fifth and one more must hold a shingle of any set that is similar enough.
+freq AS (SELECT s, count(*) AS f FROM sets GROUP BY 1),
+prefix AS (SELECT c, s, n FROM (SELECT c, s, n, row_number() OVER (PARTITION BY c ORDER BY f, s) AS k FROM sets JOIN freq USING (s) JOIN sizes USING (c))
+    WHERE k <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM prefix a JOIN prefix b ON a.s = b.s AND a.c < b.c AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+common AS (SELECT p.a, p.b, count(*) AS i FROM pairs p JOIN sets x ON x.c = p.a JOIN sets y ON y.c = p.b AND y.s = x.s GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.c = a JOIN sizes y ON y.c = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT DISTINCT a, a FROM twoway UNION SELECT r.a, e.b FROM reach r JOIN twoway e ON e.a = r.b),
+roots AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY 1),
+firsts AS (SELECT k.norm, r.rep FROM classes k LEFT JOIN roots o ON o.c = k.c JOIN classes r ON r.c = coalesce(o.root, k.c)),
+stays AS (SELECT l.doc_id, l.line_no, l.line, l.norm, length(l.norm) >= 30 AS able, f.rep IS NULL OR f.rep = l.doc_id * 1000000 + l.line_no AS kept
+    FROM lines l LEFT JOIN firsts f ON f.norm = l.norm),
+docs AS (SELECT doc_id, count(*) FILTER (able) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '') AS t FROM stays GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(t, '')) END AS kept_md5
+FROM documents d LEFT JOIN docs USING (doc_id)
+"""
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op5_decontaminate"] = r"""
+WITH words AS (SELECT false AS item, doc_id AS id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark),
+split AS (SELECT item, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM words),
+sets AS (SELECT DISTINCT item, id, array_to_string(w[i:i + 4], ' ') AS s FROM
+    (SELECT item, id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM sets WHERE item GROUP BY 1)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INT AS n_item, count(*)::INT AS n_shared
+FROM sets d JOIN sets b ON b.s = d.s AND b.item AND NOT d.item JOIN sizes z ON z.id = b.id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * any_value(n)
+"""
