@@ -36,9 +36,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_i
     Other columns are not read.
     """
     items = settle(benchmark.select(F.col(item_id).alias("item_id"), words_of(ascii_lower(F.col(item_text))).alias("w"))
-                   .where("item_id is not null and size(w) > 0")
                    .select("item_id", shingles_of(F.col("w"), SHINGLE).alias("shingles"), F.array_distinct(hashes_of(F.col("w"))).alias("h"))
-                   .distinct())
+                   .distinct()).where("item_id is not null and size(h) > 0")
     sketches = items.select(F.size("h").alias("q"), F.floor(F.log2(F.size("h"))).cast("int").alias("part"),
                             "item_id", F.explode(F.slice(F.array_sort("h"), 1, SKETCH)).alias("h"))
     parts = sketches.groupBy("part").agg(F.max("h").alias("most"), F.min("q").alias("least")).orderBy("part").collect()  # 64 at most
@@ -47,20 +46,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_i
                             F.lit(0).alias("n_shared")).limit(0)
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    hashed = texts.select("doc_id", hashes_of(words_of(ascii_lower(F.col("text")))).alias("h"))
+    # Arrays get a column before lambdas use them, and no filter on what is derived from them: pushed down, it would
+    # compute them anew for every element.
+    hashed = texts.select("doc_id", words_of(ascii_lower(F.col("text"))).alias("w")).select("doc_id", hashes_of(F.col("w")).alias("h"))
     # A document enters a partition with the hashes below the partition's bound, if it is long enough.
     bound = F.lit(None).cast("bigint")
     for p in parts:
         bound = F.greatest(bound, F.when(F.size("h") * 100 >= p["least"] * percent, F.lit(p["most"])))
-    probes = hashed.withColumn("bound", bound).where("bound is not null").select(
-        "doc_id", F.explode(F.filter("h", lambda x: x <= F.col("bound"))).alias("h"))
+    probes = hashed.select("doc_id", F.explode(F.filter("h", lambda x: x <= bound)).alias("h"))
     candidates = settle(probes.join(small_side(sketches.select("h", "item_id")), "h").select("doc_id", "item_id").distinct())
 
     found = texts.join(small_side(candidates), "doc_id").join(small_side(items.select("item_id", F.col("shingles").alias("want"))), "item_id")
-    held = F.size(F.array_intersect("want", shingles_of(words_of(ascii_lower(F.col("text"))), SHINGLE)))
-    return (found.select("doc_id", "item_id", F.size("want").alias("n_item"), held.alias("n_shared"))
-            .where(100 * F.col("n_shared") >= percent * F.col("n_item"))
-            .groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared")))
+    worded = found.select("doc_id", "item_id", "want", words_of(ascii_lower(F.col("text"))).alias("w"))
+    counted = worded.select("doc_id", "item_id", F.size("want").alias("n_item"), F.size(F.array_intersect("want", shingles_of(F.col("w"), SHINGLE))).alias("n_shared"))
+    return (counted.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+            .where(100 * F.col("n_shared") >= percent * F.col("n_item")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

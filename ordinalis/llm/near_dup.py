@@ -196,8 +196,8 @@ def confirm(base: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                   .select(F.struct("id", "tag").alias("c"), "shingles"))
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    # 100 * shared >= percent * (a + b - shared), with the intersection taken once
+    return both.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
