@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinalis.llm import decontaminate, line_dedup, mixing, near_dup, quality, toxicity
+from ordinalis.llm import decontaminate, langid, line_dedup, lm_score, mixing, near_dup, quality, toxicity
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -147,3 +147,37 @@ sizes AS (SELECT id, count(*) AS n FROM sets WHERE item GROUP BY 1)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INT AS n_item, count(*)::INT AS n_shared
 FROM sets d JOIN sets b ON b.s = d.s AND b.item AND NOT d.item JOIN sizes z ON z.id = b.id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * any_value(n)
 """
+
+
+@query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the texts labelled good."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = lm_score.lm_scores(read(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 5).alias(c) for c in ("target_loss", "background_loss", "difference")])
+
+
+ORACLES["op7_lm_score"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+toks AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM (SELECT word, count(*) AS n FROM toks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1023)),
+size AS (SELECT count(*) + 1 AS v FROM vocab),
+ids AS (SELECT doc_id, i, coalesce(id, 0) AS id FROM toks LEFT JOIN vocab USING (word)),
+pairs AS (SELECT doc_id, id, coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY i), -1) AS prev FROM ids),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+counts AS (SELECT prev, id, count(*) AS b, count(g.doc_id) AS t FROM pairs LEFT JOIN good g USING (doc_id) GROUP BY 1, 2),
+prevs AS (SELECT prev, sum(b) AS b, sum(t) AS t FROM counts GROUP BY 1),
+singles AS (SELECT id, (sum(b) + 1.0::DOUBLE) / ((SELECT sum(b) FROM counts) + v) AS b, (sum(t) + 1.0::DOUBLE) / ((SELECT sum(t) FROM counts) + v) AS t
+    FROM counts, size GROUP BY id, v),
+logs AS (SELECT c.prev, c.id, ln((c.b + 50.0::DOUBLE * s.b) / (p.b + 50.0::DOUBLE)) AS b, ln((c.t + 50.0::DOUBLE * s.t) / (p.t + 50.0::DOUBLE)) AS t
+    FROM counts c JOIN prevs p USING (prev) JOIN singles s USING (id)),
+losses AS (SELECT doc_id, count(*) AS n, -avg(t) AS t, -avg(b) AS b FROM pairs JOIN logs USING (prev, id) GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(t, 5) AS target_loss, round(b, 5) AS background_loss, round(t - b, 5) AS difference
+FROM documents d LEFT JOIN losses USING (doc_id)
+"""
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
