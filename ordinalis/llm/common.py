@@ -73,7 +73,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def bucket_links(keyed: DataFrame, confirm, pivots: int = 16) -> DataFrame:
+def bucket_links(keyed: DataFrame, confirm, pivots: int = 64) -> DataFrame:
     """Confirmed links (a, b) between members of common buckets, enough to give the right components.
 
     `keyed` has (key, c): bucket and member. `confirm(pairs)` returns the pairs (a, b) that hold. Every member is compared

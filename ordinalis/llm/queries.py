@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinalis.llm import decontaminate, langid, line_dedup, lm_score, mixing, near_dup, pii, quality, toxicity
+from ordinalis.llm import decontaminate, langid, line_dedup, lm_score, mixing, near_dup, pii, quality, suffix_dedup, toxicity
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -18,6 +18,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(read(spark, sf_dir, "documents")).drop("removed")
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents"))
