@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.llm.common import components, settle
@@ -24,6 +24,8 @@ SYMBOLS, CHUNK, MAX_DISTANCE = 64, 4, 31
 ERRORS = MAX_DISTANCE // (SYMBOLS // CHUNK)
 #: Buckets up to this size list the pairs that are still open; larger ones are compared block by block.
 SMALL_BUCKET, BLOCK = 32, 256
+#: Shingles are also counted in so many equal parts of the hash range: the sum of the smaller counts bounds an intersection.
+PARTS = 512
 MEMORY_WORDS = 500_000
 
 _MULTIPLIERS = np.random.default_rng(20240607).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,22 +69,39 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of all chunks with one symbol left out: chunk number, place of the gap and the other three symbols, exactly."""
-    chunks = sig.reshape(-1, CHUNK).astype(np.int64)
+    """Keys of all chunks of signatures (rows of 64-bit chunks) with one symbol left out: chunk number, place of the gap
+    and the other three symbols, exactly."""
+    v = sig.view(np.uint64)
     keys = []
     for gap in range(CHUNK):
-        rest = [chunks[:, j] for j in range(CHUNK) if j != gap]
-        key = np.arange(len(chunks), dtype=np.int64) * CHUNK + gap
-        for r in rest:
-            key = key << 16 | r
-        keys.append(key)
-    return np.concatenate(keys)
+        low = v & np.uint64((1 << 16 * gap) - 1)
+        high = v >> np.uint64(16 * (gap + 1)) << np.uint64(16 * gap) if gap < CHUNK - 1 else np.uint64(0)
+        place = (np.arange(v.shape[-1], dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(gap)) << np.uint64(48)
+        keys.append(place | low | high)
+    return np.stack(keys, -1).reshape(*v.shape[:-1], -1).view(np.int64)
+
+
+def keys_of(sig: Column) -> Column:
+    """The same keys as an array column."""
+    def of(v: Column, i: Column) -> Column:
+        keys = []
+        for gap in range(CHUNK):
+            low = v.bitwiseAND(F.lit((1 << 16 * gap) - 1))
+            high = F.shiftleft(F.shiftrightunsigned(v, 16 * (gap + 1)), 16 * gap) if gap < CHUNK - 1 else F.lit(0)
+            keys.append(F.shiftleft((i * CHUNK + gap).cast("bigint"), 48).bitwiseOR(low).bitwiseOR(high.cast("bigint")))
+        return F.array(*keys)
+    return F.flatten(F.transform(sig, of))
+
+
+def part_counts(shingles: np.ndarray) -> bytes:
+    """Shingles in each part of the hash range, as bytes; a count above 254 is written as 255 and means any."""
+    return np.minimum(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        n, digest, tag, sigs, keys = [], [], [], [], []
+        n, digest, tag, sigs, parts = [], [], [], [], []
         for text in batch.column("text"):
             s = shingler(text.as_py())
             d = hashlib.md5(s.tobytes()).digest() if len(s) else None
@@ -90,11 +109,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             digest.append(d)
             tag.append(int.from_bytes(d[:4], "little", signed=True) if d else None)
-            sigs.append(sig.tobytes() if d else None)
-            keys.append(chunk_keys(sig) if d else None)
+            sigs.append(sig.view(np.int64) if d else None)
+            parts.append(part_counts(s) if d else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tag, pa.int32()),
-             pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "tag", "sig", "keys"])
+             pa.array(sigs, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["id", "n", "digest", "tag", "sig", "parts"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +126,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "tag", "shingles"])
 
 
-def _close_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks (or within one) of a bucket whose signatures are near and whose components differ."""
-    block = block.reset_index(drop=True)
-    sig = np.frombuffer(b"".join(block["sig"]), np.uint16).reshape(len(block), SYMBOLS)
-    home, root = block["home"].to_numpy(), block["root"].to_numpy()
-    low, high = block["lo"].iloc[0], block["hi"].iloc[0]
-    left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
-    found = []
-    for i in left:
-        others = right[right > i] if low == high else right
-        near = others[((sig[others] != sig[i]).sum(1) <= MAX_DISTANCE) & (root[others] != root[i])]
-        found += [(i, j) for j in near]
-    a, b = [x for x, _ in found], [x for _, x in found]
-    ids, tags = block["id"], block["tag"]
-    return pd.DataFrame({"aid": ids[a].to_numpy(), "atag": tags[a].to_numpy(), "bid": ids[b].to_numpy(), "btag": tags[b].to_numpy()})
+def _close_pairs(percent: int):
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        """Open pairs of two blocks of a bucket, or within one: near by signature, and alike enough by their part counts.
+
+        A pair is left to the first bucket that both members are in, so it comes up once.
+        """
+        block = block.reset_index(drop=True)
+        chunks = np.stack(block["sig"].to_numpy()).astype(np.int64)
+        sig, keys = chunks.view(np.uint16), chunk_keys(chunks)
+        parts = np.frombuffer(b"".join(block["parts"]), np.uint8).reshape(len(block), PARTS)
+        home, root, n = block["home"].to_numpy(), block["root"].to_numpy(), block["n"].to_numpy()
+        low, high, own = block["lo"].iloc[0], block["hi"].iloc[0], int(np.flatnonzero(keys[0] == block["key"].iloc[0])[0])
+        left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
+        a, b = [], []
+        for i in left:
+            others = right[right > i] if low == high else right
+            others = others[root[others] != root[i]]
+            others = others[(sig[others] != sig[i]).sum(1) <= MAX_DISTANCE]
+            others = others[(keys[others] == keys[i]).argmax(1) == own]
+            most = np.minimum(parts[others], parts[i]).sum(1, dtype=np.int64)
+            any_ = ((parts[others] == 255) & (parts[i] == 255)).any(1)
+            others = others[any_ | ((100 + percent) * most >= percent * (n[others] + n[i]))]
+            a += [i] * len(others)
+            b += others.tolist()
+        ids, tags = block["id"], block["tag"]
+        return pd.DataFrame({"aid": ids[a].to_numpy(), "atag": tags[a].to_numpy(), "bid": ids[b].to_numpy(), "btag": tags[b].to_numpy()})
+
+    return pairs
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -134,22 +166,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     Documents with equal shingle sets are one class, represented by the smallest id. Classes meet in the buckets of the
     multi-index. A first round compares every member of a bucket with its smallest; confirmed pairs are united. Only
     buckets that still hold several components go on: the open pairs of small ones are listed, large ones are compared in
-    blocks by their signatures, and only pairs within the signature distance and between components are confirmed. So a
-    group of copies costs one comparison per member, and no link between components is lost.
+    blocks by their signatures and by a bound on their intersections, and only pairs that pass both and lie in different
+    components are confirmed. So a group of copies costs one comparison per member, documents that share one passage are
+    told apart without being paired, and no link between components is lost.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that share an id are one node of the graph.
     Rows with a null id keep a null component and stay. An empty table gives an empty one; other columns are not read.
     """
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = dict(base.dtypes)["id"]
-    signed = settle(base.mapInArrow(_sign, f"id {kind}, n bigint, digest binary, tag int, sig binary, keys array<bigint>"))
+    signed = settle(base.mapInArrow(_sign, f"id {kind}, n bigint, digest binary, tag int, sig array<bigint>, parts binary"))
     usable = signed.where("n > 0 and id is not null")
-    classes = settle(usable.groupBy("digest").agg(F.min_by(F.struct("id", "tag", "n", "sig", "keys"), "id").alias("r")))
-    reps = classes.select(F.struct("r.id", "r.tag").alias("c"), "r.n", "r.sig", "r.keys")
+    classes = settle(usable.groupBy("digest").agg(F.min_by(F.struct("id", "tag", "n", "sig", "parts"), "id").alias("r")))
+    reps = classes.select(F.struct("r.id", "r.tag").alias("c"), "r.n", "r.sig", "r.parts")
     same = usable.join(classes.select("digest", F.col("r.id").alias("rep")), "digest").where("id <> rep").select(
         F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    keyed = reps.select("c", "n", F.explode("keys").alias("key"))
+    keyed = reps.select("c", "n", F.explode(keys_of(F.col("sig"))).alias("key"))
     low = keyed.groupBy("key").agg(F.min(F.struct("c", "n")).alias("m"), F.count("*").alias("size")).where("size > 1")
     stars = keyed.join(low, "key").where("c <> m.c").where(
         F.least("n", "m.n") * 100 >= F.greatest("n", "m.n") * percent)
@@ -169,12 +202,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
                  lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))).alias("p"))
              .select("p.a", "p.b"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = open_.where(F.col("size") > SMALL_BUCKET).join(reps.select(F.col("c").alias("of"), "sig"), F.col("c") == F.col("of")).select(
-        "key", F.col("c.id").alias("id"), F.col("c.tag").alias("tag"), F.xxhash64("root").alias("root"), "sig", blocks.alias("nb"),
+    large = open_.where(F.col("size") > SMALL_BUCKET).join(reps.select(F.col("c").alias("of"), "sig", "parts"), F.col("c") == F.col("of")).select(
+        "key", F.col("c.id").alias("id"), F.col("c.tag").alias("tag"), F.xxhash64("root").alias("root"), "n", "sig", "parts", blocks.alias("nb"),
         F.pmod(F.xxhash64("c"), blocks).cast("int").alias("home"))
     dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn(
         "lo", F.least("home", "other")).withColumn("hi", F.greatest("home", "other"))
-    near = dealt.groupBy("key", "lo", "hi").applyInPandas(_close_pairs, f"aid {kind}, atag int, bid {kind}, btag int").select(
+    near = dealt.groupBy("key", "lo", "hi").applyInPandas(_close_pairs(percent), f"aid {kind}, atag int, bid {kind}, btag int").select(
         F.struct(F.col("aid").alias("id"), F.col("atag").alias("tag")).alias("a"),
         F.struct(F.col("bid").alias("id"), F.col("btag").alias("tag")).alias("b"))
     fresh = settle(_ordered(small.unionByName(near)).join(tried, ["a", "b"], "left_anti"))
