@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ordinalis.session import settle, shared_dir  # noqa: F401
+from ordinalis.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word separators: space and the control characters from tab to carriage return.
@@ -17,6 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table in the shared folder and read it: cuts lineage, survives lost executors, and computes everything once."""
+    path = scratch_path(df.sparkSession, "llm")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, as every word-based operator here does."""
     return F.translate(text, UPPER, LOWER)
@@ -49,7 +56,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
 
     Alternates large-star and small-star steps: each is one grouped minimum and one join, both keyed by node, so the
     work stays with the edges and takes about log(n) rounds. Nodes without edges do not appear. Every round is
-    checkpointed in the shared folder. A hub's rows are split by the adaptive skew join.
+    written to the shared folder. A hub's rows are split by the adaptive skew join.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v and u is not null and v is not null")
     e = settle(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
