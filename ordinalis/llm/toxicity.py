@@ -51,6 +51,11 @@ def word_table(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray,
     return grams[valid].astype(np.int64), np.cumsum(count) - count, count
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # buckets x dim
@@ -63,11 +68,12 @@ class Model:
         return SCALE * (self.vectors @ w).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int = 4, epochs: int = 100, rate: float = 0.2,
-          seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 4, epochs: int = 40, rate: float = 0.05,
+          least: int = 5, seed: int = 7) -> Model:
     """Fit embeddings and softmax together on whole-text labels.
 
     A text is toxic if any of its bags is (noisy or), so that the loss of a toxic text flows to the bags that explain it.
+    The first direction starts at how much likelier a subword's presence makes the toxic class, shrunk where few texts have it.
     """
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
@@ -83,7 +89,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int
                 bags += 1
             bag_words.append(np.array(ids, np.int64))
             at += len(ids)
-    vectors = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    vectors = rng.normal(0, 0.02, (buckets, dim)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.array([2.0, -2.0], np.float32)
     if not kept or len(set(kept)) < 2:
         # Nothing to tell apart: the prior alone decides.
@@ -96,6 +102,17 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int
     bag_of = np.repeat(np.arange(bags), np.diff(np.append(bag_start, at)))
     doc_of = np.repeat(np.arange(len(y)), np.diff(np.append(doc_start, bags)))
     size = np.add.reduceat(gram_n[flat], bag_start).astype(np.float32)
+    word_of = np.repeat(np.arange(len(known)), gram_n)
+    text_of = np.repeat(np.arange(len(y)), np.diff(np.append(bag_start[doc_start], at)))
+    pairs = np.unique(text_of * len(known) + flat)
+    by_text = np.unique(np.repeat(pairs // len(known), gram_n[pairs % len(known)]) * buckets
+                        + grams[_ranges(gram_start[pairs % len(known)], gram_n[pairs % len(known)])])
+    holds = [np.bincount(by_text[y[by_text // buckets] == side] % buckets, minlength=buckets) for side in (0, 1)]
+    ratio = np.log((holds[1] + 0.5) / (y.sum() + 1)) - np.log((holds[0] + 0.5) / ((1 - y).sum() + 1))
+    seen = holds[0] + holds[1]
+    # Subwords of few texts learn nothing: they would only tell single texts apart.
+    vectors *= (common := seen >= max(least, 0.002 * len(y)))[:, None]
+    vectors[:, 0], weights[0] = common * ratio * seen / (seen + 5.0), (-0.5, 0.5)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, weights, bias)]
     for epoch in range(1, epochs + 1):
@@ -110,8 +127,8 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int
         d_logits = np.stack([-dz, dz], 1)
         d_mean = SCALE * (d_logits @ weights.T) / size[:, None]
         d_word = np.stack([np.bincount(flat, d_mean[bag_of, k], len(known)) for k in range(dim)], 1)
-        word_of = np.repeat(np.arange(len(known)), gram_n)
         d_vec = np.stack([np.bincount(grams, d_word[word_of, k], buckets) for k in range(dim)], 1).astype(np.float32)
+        d_vec *= common[:, None]
         for param, grad, (m, v) in zip((vectors, weights, bias), (d_vec, SCALE * mean.T @ d_logits, d_logits.sum(0)), moments, strict=True):
             m *= 0.9
             m += 0.1 * grad
