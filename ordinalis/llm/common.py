@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it: cuts lineage, survives lost executors, and computes everything once."""
     path = scratch_path(df.sparkSession, "llm")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -153,19 +153,18 @@ def context_row(data: bytes, place: int) -> tuple[int, bytes]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of each text; equal contexts of a text are one row with their places."""
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [])
         for i, text in enumerate(batch.column("text")):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             places, keys = anchors_of(np.frombuffer(data, np.uint8))
             for p, k in zip(places.tolist(), keys.view(np.int64).tolist(), strict=True):
                 left, context = context_row(data, p)
-                for column, value in zip(rows, (i, k, p, signed64(xxhash.xxh64_intdigest(context, left)), left, len(context) - left), strict=True):
+                for column, value in zip(rows, (i, k, p, signed64(xxhash.xxh64_intdigest(context, left))), strict=True):
                     column.append(value)
         index = pa.array(rows[0], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(index), batch.column("rid").take(index), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()),
-             pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int16()), pa.array(rows[5], pa.int16())],
-            names=["id", "rid", "key", "place", "digest", "before", "after"])
+             pa.array(rows[3], pa.int64())], names=["id", "rid", "key", "place", "digest"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +296,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            gone = merged([(s["a"], s["b"]) for s in spans or ()])
+            gone = merged([(s["a"], min(s["b"], len(data))) for s in spans or ()])
             kept, at = hashlib.sha256(), 0
             for a, b in gone:
                 kept.update(data[at:a])
@@ -325,9 +324,9 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     get equal results. Rows without an id are documents like others; an empty table gives an empty one. Other columns are
     not read.
     """
-    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("rid"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("rid"), F.col(text).alias("text"))
     kind = dict(base.dtypes)["id"]
-    anchors = settle(base.mapInArrow(_anchor_rows, f"id {kind}, rid bigint, key bigint, place int, digest bigint, before smallint, after smallint"))
+    anchors = settle(base.mapInArrow(_anchor_rows, f"id {kind}, rid int, key bigint, place int, digest bigint"))
     often = anchors.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     members = settle(anchors.join(often, "key"))
     kinds = settle(members.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "place")).alias("at")))
@@ -338,7 +337,9 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.collect_list(F.struct("key", "digest", "n", F.col("at.place").alias("place"))).alias("wanted")))
     read = base.join(small_side(by_doc.select("ofr").distinct()), F.col("rid") == F.col("ofr"), "left_semi")
     read = read.join(by_doc, F.col("id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("ofr"))).select("text", "wanted")
-    contexts = settle(read.mapInArrow(_contexts, "key bigint, digest bigint, n bigint, before smallint, context binary"))
+    found = read.mapInArrow(_contexts, "key bigint, digest bigint, n bigint, before smallint, context binary")
+    # Alike contexts side by side: they take a fraction of the space.
+    contexts = settle(found.repartition("key").sortWithinPartitions("key"))
 
     large = small_side(sizes.where(F.col("kinds") > GROUP).select("key"))
     plain = contexts.join(large, "key", "left_anti").select(F.col("key").alias("grp"), "*", F.lit(0).alias("low"), F.lit(REACH).alias("high"))
@@ -356,12 +357,12 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counted = strings.join(again, ["key", "shift", "s"]).select("key", "digest", F.col("shift").cast("int").alias("first"), F.col("shift").cast("int").alias("last"))
 
     ranges = solved.unionByName(counted).groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    # Contexts that occur twice repeat as a whole.
-    whole = members.join(kinds.where("n > 1").select("key", "digest"), ["key", "digest"]).select(
-        "id", "rid", (F.col("place") - F.col("before")).alias("a"), (F.col("place") + F.col("after")).alias("b"))
-    partly = members.join(kinds.where("n = 1").select("key", "digest").join(ranges, ["key", "digest"]), ["key", "digest"]).select(
-        "id", "rid", (F.col("place") - F.col("last")).alias("a"), (F.col("place") - F.col("first") + LENGTH).alias("b"))
-    spans = whole.unionByName(partly).groupBy(F.col("id").alias("of"), F.col("rid").alias("ofr")).agg(
-        F.collect_set(F.struct(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))).alias("spans"))
+    # Contexts that occur twice repeat as a whole, up to the ends of the text.
+    verdicts = kinds.where("n > 1").select("key", "digest", F.lit(0).alias("first"), F.lit(REACH).alias("last")).unionByName(
+        kinds.where("n = 1").select("key", "digest").join(ranges, ["key", "digest"]))
+    spans = members.join(verdicts, ["key", "digest"]).select(
+        "id", "rid", F.greatest(F.col("place") - F.col("last"), F.lit(0)).alias("a"), (F.col("place") - F.col("first") + LENGTH).alias("b")
+    ).groupBy(F.col("id").alias("of"), F.col("rid").alias("ofr")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = small_side(spans)
     joined = base.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("ofr")), "left").select("id", "text", "spans")
     return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<a: bigint, b: bigint>>")
