@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ordinalis.functions import confusion as cf
 from ordinalis.functions.scalar import ratio
-from ordinalis.operators import ranking
 from ordinalis.operators.ranking import attach_thresholds, join_on, with_position
-from ordinalis.session import settle, small_side
+from ordinalis.session import small_side
 
 LIFT_SHARES = {"lift_10": 0.10, "lift_20": 0.20}
 # Column of `evaluate` -> metric name in long results.
@@ -36,11 +35,11 @@ def top_share_size(share: float) -> Column:
     return F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
 
 
-def lift(df: DataFrame, by: list[str], shares: dict[str, float] | None = None, fits: bool | None = None) -> DataFrame:
+def lift(df: DataFrame, by: list[str], shares: dict[str, float] | None = None) -> DataFrame:
     """Detractor rate among the top-k by p0 over the base rate, one column per share; ties go to the lower id."""
     shares = shares or LIFT_SHARES
     ranked = df.select(*by, "id", "y", (-F.col("p0")).alias("_s"))
-    flagged = attach_thresholds(ranked, by, "_s", "id", {name: top_share_size(s) for name, s in shares.items()}, fits)
+    flagged = attach_thresholds(ranked, by, "_s", "id", {name: top_share_size(s) for name, s in shares.items()})
     agg = flagged.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == 0).alias("_pos"),
         *[F.count_if(F.col(name) & (F.col("y") == 0)).alias(f"_hit_{name}") for name in shares],
@@ -59,16 +58,11 @@ def point_metrics(cm: DataFrame, by: list[str]) -> DataFrame:
 
 
 def evaluate(df: DataFrame, by: list[str], probabilities: bool = True, counts: DataFrame | None = None) -> DataFrame:
-    """One wide row of metrics per group; put `split`, `model`, `batch` ... into `by` to evaluate all in one pass.
-
-    The confusion counts (given or computed here) also tell the largest group, so lift needs no size check of its own.
-    """
+    """One wide row of metrics per group; put `split`, `model`, `batch` ... into `by` to evaluate all in one pass."""
     if not probabilities:
         return point_metrics(counts if counts is not None else confusion_counts(df, by), by)
-    cm = counts if counts is not None else settle(confusion_counts(df, by))
-    largest = cm.agg(F.max("n_rows")).first()[0] or 0
-    fits = largest <= ranking.WINDOW_ROWS
-    return join_on(point_metrics(cm, by), lift(df, by, fits=fits), by)
+    cm = counts if counts is not None else confusion_counts(df, by)
+    return join_on(point_metrics(cm, by), lift(df, by), by)
 
 
 def to_long(wide: DataFrame, by: list[str], names: dict[str, str] | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ A window without a (small) partition key pulls a whole group into one task.  Her
 many tasks.  The layout is checkpointed, which fixes the partition of every row; per-partition counts (as many
 rows as there are partitions) are prefix-summed and added to the local position.
 
-Every operator first counts its largest group (a column-pruned count).  Up to WINDOW_ROWS rows per group a plain
-window or percentile is cheaper and safe in one task, and is used instead.
+There is one path for every size.  A NULL value has a NULL rank and does not count, a group of NULLs keeps its row with
+NULL quantiles, and a k beyond the size of a group takes all of its values.
 """
 
 from __future__ import annotations
@@ -19,17 +19,9 @@ from ordinalis.session import settle, small_side
 
 GRID = 200          # cells of the quantile sketch used to bracket a k-th element
 SKETCH = 20_000     # sketch accuracy: rank error n / SKETCH, far below the width n / GRID of a cell
-WINDOW_ROWS = 2_000_000   # largest group that may be handled inside one task
 _LOCAL = (1 << 33) - 1
 
 
-def fits_in_task(df: DataFrame, by: list[str]) -> bool:
-    """Is every group of `by` small enough for an ordinary window?"""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    return (largest or 0) <= WINDOW_ROWS
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches NULL keys and keeps one copy of them."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -69,19 +61,11 @@ def _offsets(tagged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataF
 
 
 def with_position(df: DataFrame, by: list[str], order: list[Column], name: str = "pos",
-                  running: dict[str, Column] | None = None, fits: bool | None = None) -> DataFrame:
-    """Add the 1-based position within `by` under `order`, and running sums of `running` expressions.
-
-    `fits` skips the size check where the caller already knows the largest group.
-    """
+                  running: dict[str, Column] | None = None) -> DataFrame:
+    """Add the 1-based position within `by` under `order`, and running sums of `running` expressions."""
     running = running or {}
     df, keys = _with_group(df, by)
     added = [] if by else keys
-    if fits_in_task(df, keys) if fits is None else fits:
-        over = W.partitionBy(*keys).orderBy(*order)
-        upto = over.rowsBetween(W.unboundedPreceding, 0)
-        sums = [F.sum(expr).over(upto).alias(label) for label, expr in running.items()]
-        return df.select("*", F.row_number().over(over).cast("long").alias(name), *sums).drop(*added)
     tagged = _laid_out(df, keys, order)
     offsets = small_side(_offsets(tagged, keys, running))
     out = join_on(tagged, offsets, ["_pid", *keys])
@@ -100,12 +84,8 @@ def value_frequencies(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def min_rank(df: DataFrame, by: list[str], value: str, name: str, descending: bool = True) -> DataFrame:
-    """SQL RANK() of `value`: one more than the number of better rows, equal values share it."""
+    """One more than the number of better rows; equal values share it, a NULL has none."""
     work = df.withColumn("_v", -F.col(value) if descending else F.col(value))
-    if fits_in_task(work, by):
-        keyed, keys = _with_group(work, by)
-        ranked = keyed.withColumn(name, F.rank().over(W.partitionBy(*keys).orderBy("_v")).cast("long"))
-        return ranked.drop("_v", *([] if by else keys))
     freq = value_frequencies(work, by, "_v").select(*by, "_v", (F.col("cum") - F.col("w") + 1).alias(name))
     # unique right side; a hot tied score on the left is split by AQE's skew join
     return join_on(work, freq, [*by, "_v"], "left").drop("_v")
@@ -113,10 +93,6 @@ def min_rank(df: DataFrame, by: list[str], value: str, name: str, descending: bo
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group, by running counts over the distinct values."""
-    if fits_in_task(df, by):
-        exact = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        out = df.groupBy(*by).agg(exact.alias("_q"))
-        return out.select(*by, *[F.try_element_at("_q", F.lit(i + 1)).alias(p) for i, p in enumerate(probs)])
     freq = value_frequencies(df, by, value)
     keyed, keys = _with_group(freq, by)
     sizes = small_side(keyed.groupBy(*keys).agg(F.max("cum").alias("_n")))
@@ -130,13 +106,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         aggs += [F.max(F.when(lo.between(first, last), v)).alias(f"_lo_{label}"),
                  F.max(F.when(hi.between(first, last), v)).alias(f"_hi_{label}"),
                  F.max(h - lo).alias(f"_f_{label}")]
-    out = rows.groupBy(*keys).agg(*aggs)
+    groups, keys = _with_group(df.select(*by).distinct() if by else df.select().limit(1), by)
+    out = join_on(groups, rows.groupBy(*keys).agg(*aggs), keys, "left")
     return out.select(*by, *[
         (F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(p) for p in probs])
 
 
-def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column],
-                fits: bool | None = None) -> DataFrame:
+def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column]) -> DataFrame:
     """The k-th row of every group under (score, tie) ascending, for several k given as Columns over `n`.
 
     Returns (by, n, which, k, k_score, k_tie).  No full sort: a mergeable sketch brackets the k-th score of each
@@ -146,12 +122,6 @@ def kth_element(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str
     df = df.filter(F.col(score).isNotNull())
     wanted = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), k.cast("long").alias("k"))
                                  for w, k in ks.items()])).alias("_want")
-    if fits_in_task(df, keys) if fits is None else fits:
-        whole = W.partitionBy(*keys)
-        placed = df.select("*", F.row_number().over(whole.orderBy(score, tie)).alias("_pos"),
-                           F.count(F.lit(1)).over(whole).alias("n"))
-        return placed.select("*", wanted).filter(F.col("_pos") == F.col("_want.k")).select(
-            *by, "n", "_want.which", "_want.k", F.col(score).alias("k_score"), F.col(tie).alias("k_tie"))
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     sketch = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx(score, grid, F.lit(SKETCH)).alias("_grid"))
@@ -186,17 +156,9 @@ def wide_thresholds(kth: DataFrame, by: list[str], names: list[str]) -> DataFram
     return keyed.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
-def attach_thresholds(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column],
-                      fits: bool | None = None) -> DataFrame:
+def attach_thresholds(df: DataFrame, by: list[str], score: str, tie: str, ks: dict[str, Column]) -> DataFrame:
     """Rows with a boolean per k: is the row among the first k of its group?"""
-    if fits_in_task(df, by) if fits is None else fits:
-        keyed, keys = _with_group(df, by)
-        whole = W.partitionBy(*keys)
-        placed = keyed.select("*", F.row_number().over(whole.orderBy(F.col(score).asc_nulls_last(), tie)).alias("_pos"),
-                              F.count(score).over(whole).alias("n"))
-        flags = [(F.col(score).isNotNull() & (F.col("_pos") <= k)).alias(w) for w, k in ks.items()]
-        return placed.select(*df.columns, *flags)
-    wide = small_side(wide_thresholds(kth_element(df, by, score, tie, ks, False), by, list(ks)))
+    wide = small_side(wide_thresholds(kth_element(df, by, score, tie, {w: F.least(k, F.col("n")) for w, k in ks.items()}), by, list(ks)))
     keyed, keys = _with_group(df, by)
     out = join_on(keyed, wide.withColumnRenamed("n", "_n"), keys, "left")
     for w in ks:

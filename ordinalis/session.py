@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count that is ever handed to a broadcast hint.
+# Largest numbers of rows and of bytes that are ever handed to a broadcast hint.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "ordinalis", master: str | None = None, shuffle_partitions: int | None = None,
@@ -35,11 +36,14 @@ def build_session(app: str = "ordinalis", master: str | None = None, shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's checkpoint folder; a folder of our own only on a local master where none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordinalis-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ordinalis-"))
         current = sc.getCheckpointDir()
     return current
 
@@ -55,13 +59,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: what its texts and arrays hold, and a fixed part for each column."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        size = F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 24 if kind.startswith(("array", "map")) else F.lit(0)
+        total = total + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 16
+    return total
+
+
 def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Settle an aggregated table and mark it for broadcast only if it is really small.
+    """Settle an aggregated table and mark it for broadcast only if it is really small, in rows and in bytes.
 
     Larger tables come back unmarked, so the join falls to AQE (sort-merge with skew splitting).
     """
     limit = BROADCAST_ROWS if limit is None else limit
     settled = settle(df)
-    if settled.limit(limit + 1).count() <= limit:
-        return F.broadcast(settled)
-    return settled
+    rows, size = settled.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(settled)), F.lit(0))).first()
+    return F.broadcast(settled) if rows <= limit and size <= BROADCAST_BYTES else settled

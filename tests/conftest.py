@@ -22,10 +22,8 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def distributed(monkeypatch, spark):
-    """Force the range-partitioned path and keep several partitions even on tiny inputs."""
-    from ordinalis.operators import ranking
-    monkeypatch.setattr(ranking, "WINDOW_ROWS", -1)
+def distributed(spark):
+    """Keep several partitions even on tiny inputs."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
