@@ -10,6 +10,7 @@ nine numbers per group, whatever the table size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from ordinalis.operators.ranking import join_on, with_position
 from ordinalis.session import settle, small_side
 
 BLOCK = 50          # replicates drawn from one copy of a histogram
-LIFT_BINS = 2000    # fixed-width score bins of the multinomial lift; resolution of the top-k cut
+LIFT_BINS = 4000    # score bins of the multinomial lift, even in log-odds, so that rare classes keep their order
+LEAST_SCORE = 1e-7  # scores nearer to 0 or 1 share the outermost bins
 
 
 def _spread_replicates(df: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
@@ -70,7 +72,9 @@ def score_cells(df: DataFrame, by: list[str]) -> DataFrame:
 
     At most LIFT_BINS * 9 rows per group; slot 0 holds the highest scores.
     """
-    slot = F.least(F.greatest(F.floor((1.0 - F.col("p0")) * LIFT_BINS), F.lit(0)), F.lit(LIFT_BINS - 1)).cast("int")
+    p = F.least(F.greatest(F.col("p0"), F.lit(LEAST_SCORE)), F.lit(1 - LEAST_SCORE))
+    most = math.log((1 - LEAST_SCORE) / LEAST_SCORE)
+    slot = F.least(F.floor((most - F.ln(p / (1 - p))) / (2 * most) * LIFT_BINS), F.lit(LIFT_BINS - 1)).cast("int")
     return df.groupBy(*by, slot.alias("slot"), "y", "yp").agg(F.count(F.lit(1)).alias("n"))
 
 

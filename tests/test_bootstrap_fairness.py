@@ -99,3 +99,12 @@ def test_transitions(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2, 1), (1, 2)], "yp int, yp_flip int")
     r = fair.transitions(df, []).first()
     assert (r.n, r.n_changed, r.detractor_to_other, r.other_to_detractor, r.promoter_to_other, r.other_to_promoter) == (5, 4, 1, 1, 1, 1)
+
+
+def test_interval_brackets_the_point_of_a_rare_class(spark):
+    """Scores of a rare class lie in a sliver of the range; the top tenth still has to be found in it."""
+    rows = [(i, 0 if i < 100 else 1, 1, (4000 - i) / 4000 * 5e-4) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, y int, yp int, p0 double")
+    hist = bs.cells_to_histogram(bs.score_cells(df, []), [])
+    lifts = [r.lift_at_10 for r in bs.multinomial_lift(hist, [], 50, shares={"lift_at_10": 0.1}).collect()]
+    assert min(lifts) > 9.5 and max(lifts) <= 10.5
