@@ -73,7 +73,7 @@ def top_words(df: DataFrame, text: str, label: str, k: int = 15, min_length: int
     Words are counted within each row's own task before the shuffle (partial aggregation); the top-k is then taken
     over the vocabulary.
     """
-    words = F.explode(F.regexp_extract_all(F.lower(c(text)), F.lit(r"([A-Za-z']+)"), F.lit(1))).alias("word")
+    words = F.explode(F.regexp_extract_all(F.lower(c(text)), F.lit(r"([\p{L}\p{M}']+)"), F.lit(1))).alias("word")
     counts = (df.select(c(label).alias("class"), words)
               .filter((F.length("word") >= min_length) & ~F.col("word").isin(*stopwords))
               .groupBy("class", "word").agg(F.count(F.lit(1)).alias("n")))
@@ -168,7 +168,7 @@ def embed(df: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
     """(key, embedding array<float>) from hashed term frequencies times IDF; an empty text gives the zero vector."""
     base = df.select(c(key), F.coalesce(c(text), F.lit("")).alias("_text"))
     model = Pipeline(stages=[
-        RegexTokenizer(inputCol="_text", outputCol="_w", pattern=r"[^a-z']+", minTokenLength=1),
+        RegexTokenizer(inputCol="_text", outputCol="_w", pattern=r"[^\p{L}\p{M}']+", minTokenLength=1),
         HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_v")]).fit(base)
     return model.transform(base).select(c(key), vector_to_array("_v", "float32").alias("embedding"))
 

@@ -177,7 +177,7 @@ def text_len_by_class(spark, sf):
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 
 
-@query("top_words_by_class", sql("w AS (SELECT lang AS class, unnest(regexp_extract_all(lower(text), '[A-Za-z'']+')) AS word FROM documents)",
+@query("top_words_by_class", sql("w AS (SELECT lang AS class, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}'']+')) AS word FROM documents)",
     f"k AS (SELECT class, word, count(*) AS n FROM w WHERE length(word)>=3 AND word NOT IN ({_STOP}) GROUP BY ALL)",
     "SELECT class, word, n, row_number() OVER (PARTITION BY class ORDER BY n DESC, word)::int AS rank FROM k QUALIFY rank<=15"))
 def top_words_by_class(spark, sf):
