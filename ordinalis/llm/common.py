@@ -80,14 +80,14 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def bucket_links(keyed: DataFrame, confirm, pivots: int = 64) -> DataFrame:
+def bucket_links(keyed: DataFrame, confirm, pivots: int = 64, common: int = 1) -> DataFrame:
     """Confirmed links (a, b) between members of common buckets, enough to give the right components.
 
     `keyed` has (key, c): bucket and member. `confirm(pairs)` returns the pairs (a, b) that hold. Every member is compared
     with its bucket's smallest member first. A bucket stays open while members that have not been compared with each other
     lie in different components; its members are then compared with the next `pivots` smallest ones, and so on until no
     bucket is open. A group of copies thus costs one comparison per member, and no pair that could join two components is
-    left out.
+    left out. With `common` above 1, the later comparisons ask for so many open buckets in common.
     """
     low = keyed.groupBy("key").agg(F.min("c").alias("m"), F.count("*").alias("size")).where("size > 1")
     stars = settle(keyed.join(low, "key").where("c <> m"))
@@ -104,7 +104,7 @@ def bucket_links(keyed: DataFrame, confirm, pivots: int = 64) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("key").orderBy("c"))
         heads = settle(opened.withColumn("place", place).where(F.col("place") <= pivots)
                        .select("key", F.col("c").alias("p"), F.col("root").alias("proot")))
-        pairs = opened.join(heads, "key").where("p < c and root <> proot").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+        pairs = opened.join(heads, "key").where("p < c and root <> proot").groupBy(F.col("p").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= common).select("a", "b")
         fresh = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         links = settle(links.unionByName(confirm(fresh)))
         tried = settle(tried.unionByName(fresh))
