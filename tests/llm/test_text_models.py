@@ -34,9 +34,9 @@ def test_toxicity_held_out():
 
 
 def test_toxicity_misspelling_and_place():
-    texts = ["you are a stupid clown"] * 40 + ["the day is quite nice here"] * 40
+    texts = ["it was then said that a stupid clown came"] * 40 + ["it was then said that a nice day came"] * 40
     scorer = toxicity.Scorer(*toxicity.train(texts, [1] * 40 + [0] * 40, buckets=1 << 12, epochs=40).bucket_scores())
-    quiet = "the day is quite nice here " * 300
+    quiet = "it was then said that a day came " * 300
     p = scorer.score(["stupidd clownn", quiet, quiet + "stupid clown", ""])
     assert p[0] > 0.5 and p[1] < 0.5 < p[2]
     assert ((p >= 0) & (p <= 1)).all()
