@@ -25,7 +25,7 @@ COLUMNS = range(REACH % BLOCK, CONTEXT - BLOCK + 1, BLOCK)
 #: Blocks that lie within any string of LENGTH bytes, however it is placed.
 WHOLE = (LENGTH - BLOCK + 1) // BLOCK
 #: Different contexts of one anchor that are sorted in one task; larger groups are split by the strings' common middles.
-GROUP, SLOT = 2000, 13
+GROUP, SLOT = 10_000, 13
 #: Contexts handled at once.
 BATCH = 4000
 
