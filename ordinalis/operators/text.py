@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -199,7 +200,9 @@ def cached_embeddings(df: DataFrame, key: str, text: str, model: str, path: str,
     now = tuple(fingerprint(df, key, text, model).first())
     try:
         old = tuple(spark.read.json(f"{path}/meta").select("n", "h1", "h2", "h3", "h4").first())
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         old = None
     if old != now:
         compute(df).write.mode("overwrite").parquet(f"{path}/vectors")
