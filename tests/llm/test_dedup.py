@@ -170,3 +170,51 @@ def test_quality_odd_rows(spark):
     docs = frame(spark, [(k, common_line + "\n" + sentence(rng, 40 if k else 5)) for k in range(40)])
     kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
     assert not kept[0] and all(kept[k] for k in range(1, 40))
+
+
+def plain_lines(rows, percent=80, min_chars=30):
+    """{(id, line number)} of the lines to remove, every pair compared."""
+    lines = [((i, k), " ".join(x for x in line.lower().split(" ") if x)) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    sets = sorted((key, {x[j:j + 5] for j in range(len(x) - 4)}) for key, x in lines if len(x) >= min_chars)
+    root = {key: key for key, _ in sets}
+
+    def find(key):
+        while root[key] != key:
+            key = root[key]
+        return key
+    for (a, x), (b, y) in combinations(sets, 2):
+        if 100 * len(x & y) >= percent * len(x | y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {key for key in root if find(key) != key}
+
+
+def test_lines_without_blanks_or_of_few_words(spark):
+    rng = random.Random(6)
+    han = [chr(0x4e00 + k) for k in range(600)]
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def text(n, of=letters):
+        return "".join(rng.choice(of) for _ in range(n))
+
+    def edit(line, of=letters):
+        k = rng.randrange(len(line))
+        return line[:k] + rng.choice(of) + line[k + rng.randrange(2):]
+    lines = []
+    for n in (34, 60, 140, 400):
+        for _ in range(6):
+            a = text(n, han)
+            lines += [a, edit(a, han), edit(edit(a, han), han), a + "\u3002"]
+            b = "https://" + text(n)
+            lines += [b, b + "/", edit(b), edit(edit(edit(b)))]
+            lines.append(" ".join(a[k:k + 45] for k in range(0, n, 45)))  # the same with blanks
+    for words in (2, 3, 4, 6, 11):
+        for _ in range(6):
+            w = [text(18) for _ in range(words)]
+            a = " ".join(w)
+            lines += [a, a + ".", "x" + a[1:], "x" + a[1:-1] + "!", edit(edit(a)), edit(a) + " " + text(3)]
+    lines += ["abcd" * 12, "bcda" * 9 + "b", "a" * 40, "a" * 41, "ab" * 20 + "c"]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[k * 4:k * 4 + 4])) for k in range(len(lines) // 4 + 1)]
+    got = {(r["id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == plain_lines(rows)
