@@ -188,6 +188,17 @@ FROM documents d LEFT JOIN losses USING (doc_id)
 """
 
 
+@query
+def op7_lm_score_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with models of every word."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = lm_score.lm_scores(read(spark, sf_dir, "documents"), good, None)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 5).alias(c) for c in ("target_loss", "background_loss", "difference")])
+
+
+ORACLES["op7_lm_score_all_words"] = ORACLES["op7_lm_score"].replace(" ORDER BY 2 DESC, 1 LIMIT 1023", "")
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))

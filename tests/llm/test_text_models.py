@@ -86,6 +86,20 @@ def test_lm_score_prefers_target(spark):
     assert lm_score.lm_scores(docs.limit(0), spark.range(5).toDF("doc_id")).count() == 0
 
 
+def test_lm_score_knows_rare_words(spark):
+    """More words than any fixed vocabulary: words seen in few texts tell them apart."""
+    common = " ".join(f"w{k:04d}" for k in range(1500)) + " "
+    texts = {0: "alpha beta alpha beta", 1: "gamma delta gamma delta", 2: "alpha beta alpha beta", 3: "gamma delta gamma delta", 4: common * 4, 5: common * 4}
+    docs = spark.createDataFrame([*texts.items(), *ODD[:4], (2, texts[2])], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs, spark.createDataFrame([(0,)], "doc_id long"), None).collect()}
+    assert docs.count() == lm_score.lm_scores(docs, spark.range(1).toDF("doc_id"), None).count()
+    assert got[2]["difference"] < got[3]["difference"] - 0.5
+    assert got[900001]["n_tokens"] == 0 and got[900001]["target_loss"] is None and got[900002]["difference"] is None
+    assert lm_score.lm_scores(docs.limit(0), spark.range(1).toDF("doc_id"), None).count() == 0
+    cut = {r["doc_id"]: r for r in lm_score.lm_scores(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    assert cut[2]["difference"] == cut[3]["difference"]  # what a vocabulary of 1,024 makes of them
+
+
 def plain_spans(x):
     digits = lambda s: re.sub("[^0-9]", "", s)
     find = lambda p: list(re.finditer(p, x))
