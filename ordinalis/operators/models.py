@@ -159,8 +159,11 @@ def tune(df: DataFrame, name: str, grid: dict[str, list] | None = None, metric:
 # --- feature spaces ----------------------------------------------------------------------------------------------
 
 def with_text(df: DataFrame, embeddings: DataFrame, key: str, vector: str = "embedding", name: str = "text_vector") -> DataFrame:
-    """Rows that have a text vector, with it as an ML vector."""
-    return df.join(embeddings.select(key, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias(name)), key)
+    """All rows with their text vector as an ML vector; rows without one get a zero vector, as empty texts do."""
+    width = embeddings.agg(F.max(F.size(vector))).first()[0] or 0
+    found = embeddings.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda v: v.cast("double")).alias("_vector"))
+    zero = F.array_repeat(F.lit(0.0), width)
+    return df.join(found, key, "left").withColumn(name, array_to_vector(F.coalesce("_vector", zero))).drop("_vector")
 
 
 def concat_features(df: DataFrame, parts: list[str], name: str = "hybrid") -> DataFrame:

@@ -113,3 +113,10 @@ def test_counterfactual_counts_changes(spark):
     predict = lambda d: d.withColumn("yp", F.when(F.col("s") == "Yes", 0).otherwise(1))
     got = {r.segment: r for r in explain.counterfactual_flip(df, ["s", "one"], predict).collect()}
     assert got["s"].n_changed == 40 and got["s"].detractor_to_other == 10 and got["one"].n_changed == 0
+
+
+def test_with_text_keeps_rows_without_a_vector(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, y int")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (3, None), (9, [5.0, 6.0])], "id long, embedding array<float>")
+    got = {r.id: list(r.text_vector.toArray()) for r in models.with_text(df, vectors, "id").collect()}
+    assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
