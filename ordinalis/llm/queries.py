@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinalis.llm import decontaminate, langid, line_dedup, lm_score, mixing, near_dup, pii, quality, suffix_dedup, toxicity
+from ordinalis.llm import (
+    decontaminate,
+    hard_negatives,
+    html_text,
+    langid,
+    line_dedup,
+    lm_score,
+    mixing,
+    near_dup,
+    pii,
+    quality,
+    suffix_dedup,
+    token_align,
+    toxicity,
+)
 from ordinalis.llm.common import read
 from ordinalis.plans.registry import Query
 
@@ -202,3 +216,39 @@ ORACLES["op7_lm_score_all_words"] = ORACLES["op7_lm_score"].replace(" ORDER BY 2
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh label is off by one."""
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH base AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+    FROM base a JOIN base b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INT AS rank,
+    vec_id AS negative_id, positive_score, s AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE against pieces; the groups of a document as a digest."""
+    aligned = token_align.align_tokens(read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return token_align.link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
