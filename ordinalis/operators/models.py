@@ -15,11 +15,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel)
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinalis.functions.scalar import argmax3
+from ordinalis.operators import isotonic
+from ordinalis.operators.calibration import by_class
 from ordinalis.operators.evaluation import evaluate, to_long
 from ordinalis.session import settle
 
@@ -191,18 +192,19 @@ def pca_loadings(spark: SparkSession, model: PipelineModel, top: int) -> DataFra
 
 def _normalised(df: DataFrame) -> DataFrame:
     total = F.col("q0") + F.col("q1") + F.col("q2")
-    return df.withColumns({f"q{k}": F.when(total > 0, F.col(f"q{k}") / total).otherwise(1.0 / K) for k in range(K)})
+    return df.withColumns({f"q{k}": F.when(total > 0, F.col(f"q{k}") / total).when(total.isNotNull(), 1.0 / K) for k in range(K)})
 
 
 def isotonic_recalibrate(val: DataFrame, df: DataFrame) -> DataFrame:
-    """Add q0..q2: one monotone map per class fitted on `val`, rows renormalised.  yp stays as it is."""
+    """Add q0..q2: one monotone map per class fitted on `val`, rows renormalised.  yp stays as it is.
+
+    A row without probabilities gets none.
+    """
+    blocks = isotonic.fit(by_class(val.where(F.col("y").isNotNull()), []), ["class_idx"], "p", "hit")
+    table = isotonic.knots(blocks, ["class_idx"])
     out = df
     for k in range(K):
-        # equal scores collapse to one weighted point before the fit, which leaves the fit as it is
-        fit_rows = val.groupBy(F.col(f"p{k}").alias("_x")).agg(
-            F.avg((F.col("y") == k).cast("double")).alias("_h"), F.count(F.lit(1)).cast("double").alias("_n"))
-        model = IsotonicRegression(featuresCol="_x", labelCol="_h", weightCol="_n", predictionCol=f"q{k}").fit(fit_rows)
-        out = model.transform(out.withColumn("_x", F.col(f"p{k}"))).drop("_x")
+        out = isotonic.apply(out, table.where(F.col("class_idx") == k).select("x", "q"), f"p{k}", f"q{k}")
     return _normalised(out)
 
 

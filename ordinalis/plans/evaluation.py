@@ -196,14 +196,18 @@ def score_pair(spark, sf):
     return a.join(b, "id")
 
 
-@query("recalibration_audit", sql(LONG, _PAIR, "arms AS (" + " UNION ALL ".join(
+# Brier and ECE before and after, from `pair`.
+AUDIT = ["arms AS (" + " UNION ALL ".join(
     f"SELECT '{t}' AS t, {k} AS class_idx, {c}{k} AS p, (y={k})::int AS hit FROM pair"
     for t, c in (("a", "p"), ("b", "q")) for k in range(3)) + ")",
     f"cells AS (SELECT t, class_idx, {_BIN} AS b, count(*) AS n, sum(p) AS sp, sum(hit) AS sh, sum((p-hit)*(p-hit)) AS se FROM arms GROUP BY ALL)",
     "rep AS (SELECT t, class_idx, sum(se)/sum(n) AS brier, sum(abs(sp-sh))/sum(n) AS ece FROM cells GROUP BY ALL)",
     """SELECT class_idx, round(a.brier,6) AS brier_before, round(a.ece,6) AS ece_before, round(b.brier,6) AS brier_after,
     round(b.ece,6) AS ece_after, round(b.brier-a.brier,6) AS brier_delta, round(b.ece-a.ece,6) AS ece_delta
-    FROM (SELECT * FROM rep WHERE t='a') a JOIN (SELECT * FROM rep WHERE t='b') b USING (class_idx)"""))
+    FROM (SELECT * FROM rep WHERE t='a') a JOIN (SELECT * FROM rep WHERE t='b') b USING (class_idx)"""]
+
+
+@query("recalibration_audit", sql(LONG, _PAIR, *AUDIT))
 def recalibration_audit(spark, sf):
     return r6(cal.recalibration_audit(score_pair(spark, sf), []))
 
@@ -213,10 +217,14 @@ _MODES = """tagged AS (SELECT id, y, yp, p0, 'before' AS mode FROM pair UNION AL
 _HEAD = {k: v for k, v in frag.LONG_METRICS.items() if k != "balanced_acc"}
 
 
-@query("hybrid_modes", sql(LONG, _PAIR, _MODES, frag.evaluate_cte("ev", "tagged", "mode"),
+# Headline metrics of the three prediction modes, from `pair`.
+MODES = [_MODES, frag.evaluate_cte("ev", "tagged", "mode"),
     frag.long_cte("el", "ev", "mode", _HEAD), """w AS (SELECT metric, max(value) FILTER (mode='before') AS before,
     max(value) FILTER (mode='after_full') AS after_full, max(value) FILTER (mode='after_hybrid') AS after_hybrid FROM el GROUP BY 1)""",
     """SELECT metric, round(before,6) AS before, round(after_full,6) AS after_full, round(after_hybrid,6) AS after_hybrid,
-    round(after_full-before,6) AS delta_full, round(after_hybrid-before,6) AS delta_hybrid FROM w"""))
+    round(after_full-before,6) AS delta_full, round(after_hybrid-before,6) AS delta_hybrid FROM w"""]
+
+
+@query("hybrid_modes", sql(LONG, _PAIR, *MODES))
 def hybrid_modes(spark, sf):
     return r6(ev.hybrid_modes(score_pair(spark, sf)))

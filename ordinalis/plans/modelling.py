@@ -10,6 +10,7 @@ from ordinalis.operators import calibration as cal
 from ordinalis.operators import encoding, explain, features, models, ranking, sampling
 from ordinalis.operators.evaluation import hybrid_modes
 from ordinalis.operators.prep import c
+from ordinalis.plans.evaluation import AUDIT, MODES
 from ordinalis.plans.prep import KEY, dataset
 from ordinalis.plans.registry import query, r6
 from ordinalis.plans.views import LONG, scored_long, sql, table
@@ -121,7 +122,24 @@ def _recalibrated(spark, sf, how):
     return how(settle(rows.filter("split = 'val'")), rows.filter("split = 'silent_test'"))
 
 
-@query("isotonic_recalibrate")
+# The monotone fit as the largest over starts j of the least over ends k of the mean of the points j to k, linear in between.
+_ISO = ["""iv AS (SELECT k::int AS k, [p0, p1, p2][k + 1] AS p, (y = k)::int AS hit FROM scored_long, range(3) r(k) WHERE model = 'C1' AND split = 'val')""",
+        "ip AS (SELECT k, p, sum(hit) AS h, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM iv GROUP BY k, p)",
+        "ij AS (SELECT a.k, a.i AS j, b.i AS e, sum(b.h) OVER w / sum(b.n) OVER w AS m FROM ip a JOIN ip b ON a.k = b.k AND b.i >= a.i "
+        "WINDOW w AS (PARTITION BY a.k, a.i ORDER BY b.i))",
+        "il AS (SELECT k, j, e, min(m) OVER (PARTITION BY k, j ORDER BY e DESC) AS m FROM ij)",
+        "fitted AS (SELECT k, e AS i, max(m) AS q FROM il GROUP BY 1, 2)",
+        "pts AS (SELECT k, p AS x, q, lead(p) OVER w AS x1, lead(q) OVER w AS q1, min(q) OVER (PARTITION BY k) AS low FROM ip JOIN fitted USING (k, i) "
+        "WINDOW w AS (PARTITION BY k ORDER BY p))",
+        "asked AS (SELECT id, y, yp, p0, p1, p2, k::int AS k, [p0, p1, p2][k + 1] AS p FROM scored_long, range(3) r(k) WHERE model = 'C1' AND split = 'silent_test')",
+        "mapped AS (SELECT a.*, CASE WHEN s.x IS NULL THEN (SELECT min(low) FROM pts z WHERE z.k = a.k) WHEN x1 IS NULL THEN q "
+        "ELSE q + (q1 - q) * (p - x) / (x1 - x) END AS v FROM asked a ASOF LEFT JOIN pts s ON a.k = s.k AND a.p >= s.x)",
+        "recal AS (SELECT id, any_value(y) AS y, any_value(yp) AS yp, any_value(p0) AS p0, any_value(p1) AS p1, any_value(p2) AS p2, "
+        + ", ".join(f"CASE WHEN sum(v) > 0 THEN sum(v) FILTER (k = {k}) / sum(v) ELSE 1.0::double / 3 END AS q{k}" for k in range(3))
+        + " FROM mapped GROUP BY id)"]
+
+
+@query("isotonic_recalibrate", sql(LONG, *_ISO, "SELECT id, y, yp, " + ", ".join(f"round(q{k}, 6) AS q{k}" for k in range(3)) + " FROM recal"))
 def isotonic_recalibrate(spark, sf):
     out = _recalibrated(spark, sf, models.isotonic_recalibrate)
     return r6(out.select("id", "y", "yp", "q0", "q1", "q2"))
@@ -133,14 +151,17 @@ def platt_recalibrate(spark, sf):
     return r6(out.select("id", "y", "yp", "q0", "q1", "q2"))
 
 
-@query("recalibration_report")
+_RECAL = "pair AS (SELECT *, CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END AS yq FROM recal)"
+
+
+@query("recalibration_report", sql(LONG, *_ISO, _RECAL, *AUDIT))
 def recalibration_report(spark, sf):
     """Brier / ECE before and after isotonic recalibration of the scored orders."""
     out = settle(_recalibrated(spark, sf, models.isotonic_recalibrate).select("id", "y", "yp", "p0", "p1", "p2", "q0", "q1", "q2"))
     return r6(cal.recalibration_audit(out, []))
 
 
-@query("recalibration_modes")
+@query("recalibration_modes", sql(LONG, *_ISO, _RECAL, *MODES))
 def recalibration_modes(spark, sf):
     """Headline metrics of the three prediction modes after isotonic recalibration."""
     out = settle(_recalibrated(spark, sf, models.isotonic_recalibrate).select("id", "y", "yp", "p0", "q0", "q1", "q2"))
