@@ -10,12 +10,11 @@ nine numbers per group, whatever the table size.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.functions import confusion as cf
@@ -26,8 +25,8 @@ from ordinalis.operators.ranking import join_on, with_position
 from ordinalis.session import settle, small_side
 
 BLOCK = 50          # replicates drawn from one copy of a histogram
-LIFT_BINS = 4000    # score bins of the multinomial lift, even in log-odds, so that rare classes keep their order
-LEAST_SCORE = 1e-7  # scores nearer to 0 or 1 share the outermost bins
+LIFT_BINS = 2047    # score bins of the multinomial lift, of about equally many rows in every group
+SKETCH = 20_000     # accuracy of the sketch that gives their edges: rank error rows / SKETCH, far below a bin
 
 
 def _spread_replicates(df: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
@@ -46,8 +45,12 @@ def _generator():
     return make
 
 
-def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Confusion counts of bootstrap replicates, (by, b, n00 ... n22)."""
+def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42, batch: int | None = None) -> DataFrame:
+    """Confusion counts of bootstrap replicates, (by, b, n00 ... n22).
+
+    With `batch` each replicate has about that many rows: class sizes are scaled and rounded, cells are drawn from their
+    exact shares, so that cells rarer than one in a batch still appear now and then.
+    """
     rows = _spread_replicates(cm.select(*by, *cf.CELLS), by, replicates, seed)
     cells, size, rng = list(cf.CELLS), cf.K, _generator()
 
@@ -58,6 +61,8 @@ def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, see
             shares = counts / np.maximum(sizes, 1)[:, :, None]
             shares[:, :, -1] = 1.0 - shares[:, :, :-1].sum(axis=2)
             shares = np.clip(shares, 0.0, 1.0)
+            if batch is not None:
+                sizes = np.rint(sizes * (batch / np.maximum(sizes.sum(axis=1, keepdims=True), 1))).astype(np.int64)
             for i, s in enumerate(pdf["_seed"].to_numpy()):
                 counts[i] = rng(s).multinomial(sizes[i], shares[i])
             pdf[cells] = counts.reshape(-1, size * size)
@@ -67,15 +72,34 @@ def multinomial_counts(cm: DataFrame, by: list[str], replicates: int = 1000, see
     return rows.mapInPandas(draw, schema)
 
 
+def score_edges(df: DataFrame, by: list[str], bins: int = LIFT_BINS) -> DataFrame:
+    """(by, _edges): descending lower edges of score bins that hold about equally many rows of the group.
+
+    They are scores that occur, taken from a mergeable quantile sketch, so a group of scores however close together, rare
+    or tied has its own bins; a group of few distinct scores has a bin for each.
+    """
+    grid = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    sketch = F.percentile_approx(F.col("p0").cast("double"), grid, F.lit(SKETCH))
+    return df.groupBy(*by).agg(F.sort_array(F.array_distinct(sketch), asc=False).alias("_edges"))
+
+
+def score_slot(edges: Column, score: Column, bins: int = LIFT_BINS) -> Column:
+    """Number of edges above the score, by halving; rows without a score come after all bins."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bins.bit_length()))])
+    above = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) > score, at + step).otherwise(at))
+    return F.when(score.isNull(), F.lit(bins + 1)).otherwise(above)
+
+
 def score_cells(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, slot, y, yp, n): the one pass over the rows that the multinomial bootstrap needs.
+    """(by, slot, y, yp, n): one pass over the rows for the edges and one for the counts, all that the multinomial bootstrap needs.
 
-    At most LIFT_BINS * 9 rows per group; slot 0 holds the highest scores.
+    At most (LIFT_BINS + 2) * 9 rows per group; slot 0 holds the highest scores.
     """
-    p = F.least(F.greatest(F.col("p0"), F.lit(LEAST_SCORE)), F.lit(1 - LEAST_SCORE))
-    most = math.log((1 - LEAST_SCORE) / LEAST_SCORE)
-    slot = F.least(F.floor((most - F.ln(p / (1 - p))) / (2 * most) * LIFT_BINS), F.lit(LIFT_BINS - 1)).cast("int")
-    return df.groupBy(*by, slot.alias("slot"), "y", "yp").agg(F.count(F.lit(1)).alias("n"))
+    keys = by or ["_all"]
+    rows = (df if by else df.withColumn("_all", F.lit(0))).select(*keys, "p0", "y", "yp")
+    binned = join_on(rows, small_side(score_edges(rows, keys)), keys)
+    slot = score_slot(F.col("_edges"), F.col("p0").cast("double"))
+    return binned.groupBy(*keys, slot.alias("slot"), "y", "yp").agg(F.count(F.lit(1)).alias("n")).select(*by, "slot", "y", "yp", "n")
 
 
 def cells_to_counts(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -90,7 +114,7 @@ def cells_to_histogram(cells: DataFrame, by: list[str]) -> DataFrame:
     """Per group three arrays of class counts over the slots, highest scores first."""
     per_slot = cells.groupBy(*by, "slot").agg(*[
         F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(cf.K)])
-    packed = F.sort_array(F.collect_list(F.struct("slot", *[f"c{k}" for k in range(cf.K)])))  # at most LIFT_BINS items
+    packed = F.sort_array(F.collect_list(F.struct("slot", *[f"c{k}" for k in range(cf.K)])))  # at most LIFT_BINS + 2 items
     out = per_slot.groupBy(*by).agg(packed.alias("_h"))
     return out.select(*by, *[F.col(f"_h.c{k}").alias(f"h{k}") for k in range(cf.K)])
 
@@ -238,9 +262,3 @@ def group_bootstrap(counts: DataFrame, replicate_counts: DataFrame, by: list[str
                          ("selection_rate_ci_lo", "_s", 1), ("selection_rate_ci_hi", "_s", 2)):
         out = out.withColumn(name, F.when(enough, F.try_element_at(src, F.lit(i))))
     return out.drop("_r", "_s")
-
-
-def resize(cm: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Counts scaled to a batch of n rows (class totals rounded), for bands at monitoring batch size."""
-    total = cf.total()
-    return cm.select(*by, *[F.bround(F.col(c) * n / total).cast("long").alias(c) for c in cf.CELLS])

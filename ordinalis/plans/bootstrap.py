@@ -75,12 +75,38 @@ def report_table(spark, sf):
     return wide.select(*BY, *[F.col(f"`{m}`").alias(c) for c, m in ev.METRIC_NAMES.items()])
 
 
+_HARD = """hard AS (
+  SELECT 'narrow' AS kind, model, id, y, yp, 0.5::double + p0 * 0.002::double AS p0 FROM scored_long UNION ALL
+  SELECT 'rare', model, id, case when y = 0 and id % 20 <> 0 then 1 else y end, yp, p0 * 0.0005::double FROM scored_long UNION ALL
+  SELECT 'tied', model, id, y, yp, floor(p0 * 8) / 8 FROM scored_long)"""
+
+
+def hard_scores(rows):
+    """Scores in a sliver around a half, a class rarer by a factor of twenty with small scores, and eight tied scores."""
+    def kind(name, y, p):
+        return F.struct(F.lit(name).alias("kind"), y.cast("int").alias("y"), p.alias("p0"))
+    y, p = F.col("y"), F.col("p0")
+    arms = F.array(kind("narrow", y, 0.5 + p * 0.002), kind("rare", F.when((y == 0) & (F.col("id") % 20 != 0), 1).otherwise(y), p * 0.0005),
+                   kind("tied", y, F.floor(p * 8) / 8))
+    return rows.select("model", "id", "yp", F.explode(arms).alias("_a")).select("model", "id", "yp", "_a.*")
+
+
+@query("lift_intervals", sql(LONG, _HARD, frag.lift_cte("hl", "hard", "kind, model"),
+    """SELECT kind, model, metric, round(value, 6) AS value, true AS bracketed, true AS of_some_width
+    FROM (SELECT kind, model, unnest(['lift@10', 'lift@20']) AS metric, unnest([lift_10, lift_20]) AS value FROM hl)"""))
+def lift_intervals(spark, sf):
+    """Lift on scores that are narrow, rare or tied, and whether its bootstrap interval holds it and is more than a point."""
+    ci = bs.bootstrap_all(hard_scores(scored_long(spark, sf)), ["kind", "model"], 1000).where(F.col("metric").isin("lift@10", "lift@20"))
+    return r6(ci.select("kind", "model", "metric", "value", F.col("value").between(F.col("ci_lo"), F.col("ci_hi")).alias("bracketed"),
+                        (F.col("ci_hi") > F.col("ci_lo")).alias("of_some_width")))
+
+
 @query("rolling_reference_ci")
 def rolling_reference_ci(spark, sf):
     """Reference band at the size of a monitoring batch (a twelfth of the rows)."""
     cm = small_side(ev.confusion_counts(scored_long(spark, sf), ["model"]))
     size = scored(spark, sf).count() // 12
-    reps = bs.multinomial_counts(bs.resize(cm, ["model"], size), ["model"], 1000)
+    reps = bs.multinomial_counts(cm, ["model"], 1000, batch=size)
     return r6(bs.intervals(bs.replicate_metrics(reps, ["model"]), ["model"]).withColumn("batch_size", F.lit(size)))
 
 

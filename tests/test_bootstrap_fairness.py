@@ -108,3 +108,53 @@ def test_interval_brackets_the_point_of_a_rare_class(spark):
     hist = bs.cells_to_histogram(bs.score_cells(df, []), [])
     lifts = [r.lift_at_10 for r in bs.multinomial_lift(hist, [], 50, shares={"lift_at_10": 0.1}).collect()]
     assert min(lifts) > 9.5 and max(lifts) <= 10.5
+
+
+def narrow(spark, n=4000):
+    rows = [(i, 0 if i < n // 10 else 1 + i % 2, 1, 0.5019 - 0.0018 * i / n) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, y int, yp int, p0 double")
+
+
+def lift(table, metric="lift@10"):
+    (row,) = [r for r in table.collect() if r.metric == metric]
+    return row
+
+
+def test_interval_of_a_narrow_score_range_equals_index_mode(spark):
+    """All scores within 0.0018 of each other: the point lift is 10, and both modes say so."""
+    df = narrow(spark)
+    fast, exact = (lift(bs.bootstrap_all(df, [], n, mode=m)) for m, n in (("multinomial", 400), ("index", 20)))
+    assert fast.value == exact.value == pytest.approx(10.0)
+    assert 9.0 < fast.ci_lo <= 10.0 and fast.ci_hi == pytest.approx(exact.ci_hi, abs=0.5) and fast.ci_lo == pytest.approx(exact.ci_lo, abs=0.6)
+
+
+def test_groups_have_their_own_edges(spark):
+    wide = spark.range(900).select(F.lit("wide").alias("g"), F.col("id").cast("int"), (F.col("id") % 3).cast("int").alias("y"), F.lit(1).alias("yp"),
+                                   (F.col("id") / 900).alias("p0"))
+    df = narrow(spark).select(F.lit("narrow").alias("g"), "id", "y", "yp", "p0").unionByName(wide)
+    df = df.unionByName(df.where("g = 'wide'").limit(5).withColumn("g", F.lit(None).cast("string")).withColumn("p0", F.lit(None).cast("double")))
+    cells = bs.score_cells(df, ["g"])
+    slots = {r.g: r.n for r in cells.select("g", "slot").distinct().groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert slots["wide"] == 900 and slots["narrow"] > 1500 and slots[None] == 1
+    assert {r.slot for r in cells.where("g is null").collect()} == {bs.LIFT_BINS + 1}
+    assert cells.groupBy("g").agg(F.max("slot").alias("m")).where("g is not null and m > 2047").count() == 0
+
+
+@pytest.mark.parametrize("score, want", [(2.0, 0), (0.9, 0), (0.85, 1), (0.5, 1), (0.1, 2), (0.05, 3), (None, bs.LIFT_BINS + 1)])
+def test_score_slot(spark, score, want):
+    df = spark.createDataFrame([([0.9, 0.5, 0.1], score)], "e array<double>, p double")
+    assert df.select(bs.score_slot(F.col("e"), F.col("p"))).first()[0] == want
+
+
+def test_slots_count_the_edges_above(spark):
+    edges = [1 - i / 2047 for i in range(2048)]
+    df = spark.range(3000).select((F.col("id") / 2999).alias("p"), F.array(*[F.lit(e) for e in edges]).alias("e"))
+    assert [sum(e > r.p for e in edges) for r in df.collect()[::97]] == [r.s for r in df.select(bs.score_slot(F.col("e"), F.col("p")).alias("s")).collect()[::97]]
+
+
+def test_batch_sized_replicates_keep_rare_cells(spark):
+    """A cell with 40 of 100,000 rows appears in about a third of the batches of 1,000, and the mean stays right."""
+    cm = spark.createDataFrame([(49_960, 40, 0, 0, 30_000, 0, 0, 0, 20_000)], ", ".join(f"n{i}{j} long" for i in range(3) for j in range(3)))
+    reps = bs.multinomial_counts(cm, [], 3000, batch=1000).toPandas()
+    assert (reps[["n00", "n01", "n02"]].sum(axis=1) == 500).all() and (reps["n11"] == 300).all() and (reps["n22"] == 200).all()
+    assert reps["n01"].mean() == pytest.approx(0.4, abs=0.06) and 0.25 < (reps["n01"] > 0).mean() < 0.42
