@@ -15,6 +15,7 @@ from ordinalis.plans.evaluation import _BIN
 from ordinalis.plans.registry import query, r6
 from ordinalis.plans.views import LONG, SEG_LONG, SEGMENTS, scored, scored_long, sql, table, with_segments
 from ordinalis.session import scratch_path, small_side
+from ordinalis.streaming import alerts as alert_stream
 from ordinalis.streaming import kpis as stream
 
 SEGS = list(SEGMENTS)
@@ -225,12 +226,11 @@ def label_join_monthly(spark, sf):
 # --- streams -------------------------------------------------------------------------------------------------------------
 
 
-
-def scored_events(events):
+def scored_events(events, *more):
     """Truth from the event type; the prediction agrees two times in three and else follows the value."""
     y = F.when(F.col("event_type") == "error", 0).when(F.col("event_type").isin("click", "view"), 1).otherwise(2)
     return events.select("ts", "event_id", (F.col("user_id") % 2).cast("int").alias("arm"), y.alias("y")
-                         , F.when(F.col("event_id") % 3 != 0, y).otherwise((F.floor("value") % 3).cast("int")).alias("yp"))
+                         , F.when(F.col("event_id") % 3 != 0, y).otherwise((F.floor("value") % 3).cast("int")).alias("yp"), *more)
 
 
 _EV = """se AS (SELECT ts, (user_id%2)::int AS arm, y, case when event_id%3<>0 then y else (floor(value)::bigint%3)::int end AS yp FROM
@@ -269,3 +269,61 @@ def stream_alerts(spark, sf):
     + ", ".join(cf.CELLS) + " FROM scm"))
 def sliding_window_counts(spark, sf):
     return stream.windowed_counts(scored_events(table(spark, sf, "events")), ["arm"], length="1 day", slide="12 hours")
+
+
+def drain_chunks(spark, sf, log, chunks=3, late=None):
+    """Events come in `chunks` parts of the month, written one after another; each run goes on from the checkpoint of the one before.
+
+    Rows of the first part for which `late` holds come with the last part instead. `log(stream)` gives the rows to append.
+    """
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "stream")
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(chunks - 1))
+    if late is not None:
+        part = F.when((part == 0) & late, chunks - 1).otherwise(part)
+    for i in range(chunks):
+        events.where(part == i).write.mode("append").parquet(f"{path}/in")
+        rows = log(stream.read_events(spark, f"{path}/in", events.schema))
+        alert_stream.start_log(rows, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return alert_stream.read_log(spark, f"{path}/log", rows.schema)
+
+
+LATE = F.col("event_id") % 25 == 0
+_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+_ONTIME = "so AS (SELECT * FROM sw WHERE NOT (day(ts) <= 10 AND event_id % 25 = 0))"
+_EV_ID = _EV.replace("SELECT ts, (user_id", "SELECT ts, event_id, user_id, (user_id")
+
+
+@query("stream_alert_log", sql(_EV_ID, _ONTIME, frag.cm_cte("scm", "so", "window_start, arm"), _SK,
+    """st AS (SELECT *, case when qwk is null then 'no_reference' when qwk<0.6::double then 'drift_low' when qwk>0.7::double then 'drift_high' else 'in_band' end AS status FROM sk),
+    pv AS (SELECT *, case when window_start - lag(window_start) OVER w <= INTERVAL 3 DAY then lag(status) OVER w end AS previous FROM st
+      WINDOW w AS (PARTITION BY arm ORDER BY window_start))""",
+    f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, arm, 'qwk' AS metric, round(qwk,6) AS value, status, previous,
+    case when status NOT LIKE 'drift%' then 'ok' when previous=status then 'alert' else 'warn' end AS severity
+    FROM pv WHERE window_start + INTERVAL 1 DAY <= {_CLOSED}"""))
+def stream_alert_log(spark, sf):
+    """Alerts of closed windows from keyed state, over three runs that go on from each other's checkpoint, with late rows."""
+    return r6(drain_chunks(spark, sf, lambda s: alert_stream.alert_log(alert_stream.closed_windows(scored_events(s), ["arm"]), ["arm"], "qwk", 0.6, 0.7), late=LATE))
+
+
+@query("stream_late_rows", sql(_EV_ID, _ONTIME, frag.cm_cte("scm", "so", "window_start, arm"),
+    f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, arm, {frag.N}::bigint AS n, {', '.join(cf.CELLS)} FROM scm
+    WHERE window_start + INTERVAL 1 DAY <= {_CLOSED}"""))
+def stream_late_rows(spark, sf):
+    """Counts of closed windows; rows that come after their window was closed are not in them."""
+    return drain_chunks(spark, sf, lambda s: alert_stream.counts_log(alert_stream.closed_windows(scored_events(s), ["arm"]), ["arm"]), late=LATE)
+
+
+@query("stream_sessions", sql(_EV_ID, """marked AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true)::int AS first FROM se
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM marked),
+    sess AS (SELECT user_id, s, min(ts)::timestamp AS window_start, max(ts)::timestamp + INTERVAL 12 HOUR AS window_end FROM numbered GROUP BY 1, 2)""",
+    frag.cm_cte("scm", "numbered", "user_id, s"),
+    f"""SELECT window_start, window_end, user_id, {frag.N}::bigint AS n, {', '.join(cf.CELLS)} FROM scm JOIN sess USING (user_id, s)
+    WHERE window_end <= {_CLOSED}"""))
+def stream_sessions(spark, sf):
+    """Counts of closed sessions of each user; a session ends twelve hours after its last event."""
+    def log(source):
+        rows = scored_events(source, "user_id")
+        return alert_stream.counts_log(alert_stream.closed_windows(rows, ["user_id"], session_gap="12 hours"), ["user_id"])
+    return drain_chunks(spark, sf, log)
