@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordinalis.constants import (CLASSES, FORBIDDEN_TERMS, PERSONAS, PROMPT_LINES, SEED, STOPWORDS, TENURE_PHASES)
+from ordinalis.constants import (CLASSES, EXTRA_CHARGES, FIBER, FORBIDDEN_TERMS, NO_FRICTION, NO_SERVICES, PERSONAS, PROMPT, REFUND, SEED,
+                                 STOPWORDS, TENURE_PHASES)
 from ordinalis.functions.hashing import uniform
 from ordinalis.functions.scalar import is_yes, ratio
 from ordinalis.operators.prep import c, melt
@@ -102,15 +103,14 @@ def services_summary(df: DataFrame) -> Column:
         " + ", F.when(yes("Phone Service"), "Phone"), F.when(yes("Internet Service"), "Internet"),
         F.when(addons > 0, F.concat(addons.cast("string"), F.when(addons > 1, " add-ons").otherwise(" add-on"))),
         F.when(streams != "", F.concat(F.lit("Streaming "), streams)))
-    return F.when(text == "", "minimal services").otherwise(text)
+    return F.when(text == "", NO_SERVICES).otherwise(text)
 
 
 def friction_summary(df: DataFrame) -> Column:
     one = lambda name: F.coalesce(_has(df, name, F.lit(0)), F.lit(0)) == 1
     fiber = F.lower(F.coalesce(_has(df, "Internet Type", F.lit("None")), F.lit("None"))) == "fiber"
-    text = F.concat_ws(", ", F.when(one("has_extra_charges"), "extra data charges"),
-                       F.when(one("has_refund"), "had a refund recently"), F.when(fiber, "fiber service (premium)"))
-    return F.when(text == "", "no recent issues flagged").otherwise(text)
+    text = F.concat_ws(", ", F.when(one("has_extra_charges"), EXTRA_CHARGES), F.when(one("has_refund"), REFUND), F.when(fiber, FIBER))
+    return F.when(text == "", NO_FRICTION).otherwise(text)
 
 
 def persona(label: Column, counter: Column) -> Column:
@@ -132,7 +132,7 @@ def build_prompts(df: DataFrame, key: str, target: str = "NPS_baseline", rate: f
     referrer = F.when(F.coalesce(_has(df, "is_referrer", F.lit(0)), F.lit(0)) == 1, "yes").otherwise("no")
     # the whole-dollar figure is rounded half-even beforehand, as printf styles differ between engines
     body = F.format_string(
-        "\n".join(PROMPT_LINES).replace("~$%.0f", "~$%d"), months.cast("int"), tenure_phase(months),
+        PROMPT, months.cast("int"), tenure_phase(months),
         F.coalesce(_has(df, "Contract", F.lit("month-to-month")).cast("string"), F.lit("None")),
         F.coalesce(_has(df, "Internet Type", F.lit("None")).cast("string"), F.lit("None")),
         F.bround(charges).cast("long"), services_summary(df), friction_summary(df), referrer, persona(c(target), counter))

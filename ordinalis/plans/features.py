@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ordinalis.constants import ADDON_COLUMNS, CLASSES, FORBIDDEN_TERMS, SERVICE_COLUMNS, STOPWORDS
+from ordinalis.constants import (ADDON_COLUMNS, CLASSES, EXTRA_CHARGES, FIBER, FORBIDDEN_TERMS, NO_FRICTION, NO_SERVICES, PROMPT, REFUND,
+                                 SERVICE_COLUMNS, STOPWORDS)
 from ordinalis.functions.scalar import class_code, class_label, is_yes
 from ordinalis.operators import encoding, features, text
 from ordinalis.operators.prep import c
@@ -186,24 +189,18 @@ def top_words_by_class(spark, sf):
 
 _PERSONA = "case \"NPS_baseline\" " + " ".join(
     f"when '{k}' then case when ci then '{m}' else '{p}' end" for k, (p, m) in text.PERSONAS.items()) + " end"
-_PROMPTS = f"""pm AS (SELECT "Customer ID", "NPS_baseline" AS expected_class, ci AS counter_intuitive, 'Customer profile:
-- Tenure: ' || t::int || ' months (' || case when t<=6 then 'newly joined' when t<=24 then 'early-stage relationship' when t<=48 then 'established customer'
-  else 'long-time loyal customer' end || ')
-- Contract: ' || "Contract" || '
-- Internet: ' || "Internet Type" || '
-- Total monthly charges: ~$' || round_even(coalesce("Monthly Charges",0),0)::bigint || '
-- Services bundle: ' || case when sv='' then 'minimal services' else sv end || '
-- Recent friction: ' || case when fr='' then 'no recent issues flagged' else fr end || '
-- Has referred friends: ' || case when is_referrer=1 then 'yes' else 'no' end || '
-Persona to write as: ' || {_PERSONA} || '
-Generate the message now (1-3 sentences, customer voice only).' AS user_prompt FROM (
+_PHASE = "case " + " ".join(f"when t<={upto} then '{name}'" if upto is not None else f"else '{name}'" for upto, name in text.TENURE_PHASES) + " end"
+_FILLED = ["t::int", _PHASE, '"Contract"', '"Internet Type"', 'round_even(coalesce("Monthly Charges",0),0)::bigint', f"case when sv='' then '{NO_SERVICES}' else sv end",
+           f"case when fr='' then '{NO_FRICTION}' else fr end", "case when is_referrer=1 then 'yes' else 'no' end", _PERSONA]
+_TEXT = " || ".join(f"'{part}'" + (f" || {value}" if value else "") for part, value in zip(re.split("%[ds]", PROMPT), [*_FILLED, ""], strict=True))
+_PROMPTS = f"""pm AS (SELECT "Customer ID", "NPS_baseline" AS expected_class, ci AS counter_intuitive, {_TEXT} AS user_prompt FROM (
   SELECT *, coalesce("Tenure Months",0) AS t, {u_sql('ci', '"Customer ID"::varchar')} < 0.15::double AS ci,
   concat_ws(' + ', case when "Phone Service"='Yes' then 'Phone' end, case when "Internet Service"='Yes' then 'Internet' end,
     case when n_addons>0 then n_addons || ' add-on' || case when n_addons>1 then 's' else '' end end,
     case when "Streaming TV"='Yes' or "Streaming Movies"='Yes' then 'Streaming ' || concat_ws('+', case when "Streaming TV"='Yes' then 'TV' end,
       case when "Streaming Movies"='Yes' then 'Movies' end) end) AS sv,
-  concat_ws(', ', case when has_extra_charges=1 then 'extra data charges' end, case when has_refund=1 then 'had a refund recently' end,
-    case when "Internet Type"='Fiber' then 'fiber service (premium)' end) AS fr FROM feat))"""
+  concat_ws(', ', case when has_extra_charges=1 then '{EXTRA_CHARGES}' end, case when has_refund=1 then '{REFUND}' end,
+    case when "Internet Type"='Fiber' then '{FIBER}' end) AS fr FROM feat))"""
 
 
 def prompts(spark, sf):

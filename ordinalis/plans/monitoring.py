@@ -112,15 +112,12 @@ def kpi_stability(spark, sf):
     return r6(monitor.kpi_stability(all_kpis(spark, sf)[0]))
 
 
-# Reference bands of the SQL-checked alert queries: normal-approximation recall bands per group (none for region
-# AFRICA, so that it falls through) and fixed-width headline bands without lift (so that it has no reference).
+# Reference bands of the SQL-checked alert queries: normal-approximation recall bands per group and fixed-width headline bands without lift (so that it has no reference).
 def reference_tables(spark, sf):
     rows = with_segments(spark, sf, scored_long(spark, sf))
     rates = fair.group_rates(small_side(fair.group_counts(rows, SEGS, ["model"])), ["model"])
     half = 1.96 * F.sqrt(F.col("recall") * (1 - F.col("recall")) / F.col("n_class"))
-    known = F.col("group") != "AFRICA"
-    own = rates.select("model", "segment", "group", "class_idx", F.when(known, F.col("recall") - half).alias("recall_ci_lo"),
-                       F.when(known, F.col("recall") + half).alias("recall_ci_hi"))
+    own = rates.select("model", "segment", "group", "class_idx", (F.col("recall") - half).alias("recall_ci_lo"), (F.col("recall") + half).alias("recall_ci_hi"))
     cm = ev.confusion_counts(scored_long(spark, sf), ["model", "split"])
     long = ev.to_long(ev.point_metrics(cm, ["model", "split"]), ["model", "split"])
     return own, long.select("model", "split", "metric", (F.col("value") - 0.01).alias("ci_lo"), (F.col("value") + 0.01).alias("ci_hi"))
@@ -130,7 +127,7 @@ _REFS = ",\n".join([
     "rmelt AS (" + " UNION ALL ".join(f"SELECT model, y, yp, '{s}' AS segment, {s} AS \"group\" FROM seg_scored_long" for s in SEGS) + ")",
     frag.cm_cte("rcm", "rmelt", 'model, segment, "group"'),
     f"""rown AS (SELECT model, segment, "group", r-1.96::double*sqrt(r*(1-r)/np) AS lo, r+1.96::double*sqrt(r*(1-r)/np) AS hi FROM
-    (SELECT *, {frag.recall(0, True)} AS r, {frag.row(0)} AS np FROM rcm) WHERE "group" <> 'AFRICA')""",
+    (SELECT *, {frag.recall(0, True)} AS r, {frag.row(0)} AS np FROM rcm))""",
     frag.cm_cte("hcm", "scored_long", "model, split"),
     "hl AS (" + " UNION ALL ".join(f"SELECT model, '{n}' AS metric, {e} AS v FROM hcm WHERE split='silent_test'"
                                    for n, e in (("qwk", frag.QWK), ("macro_f1", frag.MACRO_F1), ("detractor_recall", frag.recall(0)))) + ")"])
@@ -280,7 +277,7 @@ def drain_chunks(spark, sf, log, chunks=3, late=None):
     path = scratch_path(spark, "stream")
     part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(chunks - 1))
     if late is not None:
-        part = F.when((part == 0) & late, chunks - 1).otherwise(part)
+        part = F.when((part == 0) & F.expr(late), chunks - 1).otherwise(part)
     for i in range(chunks):
         events.where(part == i).write.mode("append").parquet(f"{path}/in")
         rows = log(stream.read_events(spark, f"{path}/in", events.schema))
@@ -288,7 +285,7 @@ def drain_chunks(spark, sf, log, chunks=3, late=None):
     return alert_stream.read_log(spark, f"{path}/log", rows.schema)
 
 
-LATE = F.col("event_id") % 25 == 0
+LATE = "event_id % 25 = 0"
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 _ONTIME = "so AS (SELECT * FROM sw WHERE NOT (day(ts) <= 10 AND event_id % 25 = 0))"
 _EV_ID = _EV.replace("SELECT ts, (user_id", "SELECT ts, event_id, user_id, (user_id")
