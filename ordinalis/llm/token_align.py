@@ -267,6 +267,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     pairs = small_side(pair_counts(stored), FEW_PAIRS).withColumnRenamed("pair", "of")
     sums = (stored.select("row", F.explode("links").alias("pair")).join(pairs, F.col("pair") == F.col("of"))
             .groupBy(F.col("row").alias("r")).agg(F.count_if("best").alias("best"), F.sum("n").alias("total")))
-    return stored.join(sums, F.col("row") == F.col("r"), "left").select(
-        *[c for c in aligned.columns if c != "links"], F.size("links").cast("long").alias("n_links"),
+    counted = stored.withColumn("n_links", F.size("links").cast("long")).drop("links")
+    return counted.join(sums, F.col("row") == F.col("r"), "left").select(
+        *[c for c in aligned.columns if c != "links"], "n_links",
         F.coalesce("best", F.lit(0)).cast("long").alias("n_best"), F.coalesce("total", F.lit(0)).cast("long").alias("count_sum"))
