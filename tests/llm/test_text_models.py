@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ordinalis.llm import langid, lm_score, pii, toxicity
 
@@ -26,9 +27,19 @@ def test_toxicity_held_out():
     found = rows(f"SELECT doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id)")
     fold = [r for r in found if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     learn = [r for r in found if zlib.crc32(str(r[0]).encode()) % 4 != 2]
-    model = toxicity.train([r[1][:6000] for r in learn], [r[2] for r in learn])
-    p = toxicity.Scorer(*model.bucket_scores()).score([r[1] for r in fold])
+    model = toxicity.train([r[1] for r in learn], [r[2] for r in learn])
+    scorer = toxicity.Scorer(*model.bucket_scores())
+    p = scorer.score([r[1] for r in fold])
     y = np.array([r[2] for r in fold])
+    # Clean texts joined to long ones stay clean: length alone makes no text toxic.
+    clean = [r[1] for r, q in zip(fold, p, strict=True) if r[2] == 0 and q < 0.3]
+    rng, joined = random.Random(4), {}
+    for words in (5_000, 20_000, 60_000):
+        long = [" ".join(" ".join(rng.choices(clean, k=words // 20)).split()[:words]) for _ in range(8)]
+        assert all(len(t.split()) == words for t in long)
+        joined[words] = scorer.score(long)
+    assert scorer.score(["", None]).max() < 0.3
+    assert joined[60_000].mean() < joined[5_000].mean() + 0.05 < 0.3 and all((q >= 0.3).mean() <= 0.25 for q in joined.values())
     # Some 300 toxic texts to learn from; with 1,600 both shares are above 0.99.
     assert (p[y == 1] >= 0.3).mean() > 0.6 and (p[y == 0] < 0.3).mean() > 0.95
 
@@ -42,6 +53,52 @@ def test_toxicity_misspelling_and_place():
     assert ((p >= 0) & (p <= 1)).all()
 
 
+def test_toxicity_parts_do_not_matter(monkeypatch):
+    """Gradients summed over small parts give the model of one part; scores equal the softmax written out."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdeinst", k=rng.randrange(1, 7)))
+    texts = [" ".join([word() for _ in range(rng.randrange(60))] + (["idiot"] if i % 3 == 0 else [])) for i in range(180)]
+    labels = [int(i % 3 == 0) for i in range(180)]
+    fit = lambda: toxicity.train(texts, labels, buckets=1 << 10, epochs=8)
+    whole = fit()
+    monkeypatch.setattr(toxicity, "PART_WORDS", 100)
+    parts = fit()
+    assert np.abs(whole.vectors - parts.vectors).max() < 1e-3 and np.abs(whole.text - parts.text).max() < 1e-2
+    got = toxicity.Scorer(*whole.bucket_scores()).score(texts)
+    for text, score in zip(texts, got, strict=True):
+        if not text.split():
+            assert score == whole.empty
+            continue
+        words, best = toxicity.tokens(text), []
+        for i in range(0, max(len(words), 1), toxicity.BAG_WORDS):
+            grams = [toxicity.word_table([w], 1 << 10)[0] for w in words[i:i + toxicity.BAG_WORDS]]
+            mean = np.mean(whole.vectors[np.concatenate(grams)], 0) if grams else np.zeros(4)
+            logits = toxicity.SCALE * mean @ whole.weights + whole.bias
+            best.append(logits[1] - logits[0])
+        z = whole.text[0] + whole.text[1] * max(best) + whole.text[2] * np.log(len(best))
+        assert abs(1 / (1 + np.exp(-z)) - score) < 1e-3
+
+
+def test_text_odds():
+    rng = np.random.default_rng(0)
+    y = (rng.random(900) < 0.15).astype(float)
+    bags = np.exp(rng.normal(2, 1, 900))
+    top = np.where(y > 0, rng.normal(2, 2, 900), rng.normal(-6, 2, 900) + np.log(bags))
+    fit = toxicity.text_odds(top, np.log(bags), y, np.ones(900), 0.15)
+    assert fit[1] > 0 and fit[2] < 0 and np.isfinite(fit).all()
+    assert toxicity.text_odds(top + 5 * np.where(y > 0, np.log(bags), 0), np.log(bags), y, np.ones(900), 0.15)[2] <= 0
+    assert toxicity.text_odds(top, np.log(bags), np.zeros(900), np.ones(900), 0.1).tolist() == [0.0, 1.0, 0.0]
+
+
+def test_toxicity_sample_is_bounded_and_keeps_the_share(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit(1).alias("k"), F.lit(2).alias("of"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    sample, share = toxicity.labelled_sample(docs, labels, 50)
+    assert sum(y for _, y in sample) == 50 and len(sample) == 150 and abs(share - 0.1) < 0.01
+    few, share = toxicity.labelled_sample(docs.limit(0), labels.limit(0), 50)
+    assert few == [] and share == 0
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_frame(spark)
     labels = spark.createDataFrame([(900005, 1, None), (900004, 0, "x"), (None, 1, None), (900001, None, None)], "doc_id long, toxic int, text string")
