@@ -129,10 +129,11 @@ def labelled_sample(docs: DataFrame, per_language: int, chars: int, doc_id: str
     languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
     place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))
     picked = F.broadcast(rows.where(F.col("lang").isin(languages)).withColumn("place", place).where(F.col("place") <= per_language).select("id", "k").distinct())
-    room = F.greatest(F.length(text) - F.lit(chars), F.lit(0))
-    piece = F.col(text).substr((F.pmod(F.col("k"), room + 1) + 1).cast("int"), F.lit(chars))
-    found = docs.join(picked, docs[doc_id] == F.col("id")).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    taken = found.select("k", "id", piece.alias("piece"), F.col(lang).cast("string").alias("lang")).orderBy("k", "id", "piece").limit(per_language * len(languages))
+    texts = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    room = F.greatest(F.length("text") - F.lit(chars), F.lit(0))
+    piece = F.col("text").substr((F.pmod(F.col("k"), room + 1) + 1).cast("int"), F.lit(chars))
+    found = texts.join(picked, F.col("of") == F.col("id")).where("lang is not null and text is not null")
+    taken = found.select("k", "id", piece.alias("piece"), "lang").orderBy("k", "id", "piece").limit(per_language * len(languages))
     return [(r["piece"], r["lang"]) for r in taken.collect()]
 
 
