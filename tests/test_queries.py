@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUICK = ["flagship", "confusion_matrix", "evaluate_on_splits", "lift_curve", "calibration_report", "bootstrap_ci", "fairness_matrix",
          "merge_new_columns", "leak_audit", "rank_min_desc", "response_biased_split", "derive_all", "build_prompts",
-         "top_words_by_class", "batch_kpis", "alert_table", "stream_kpis", "linear_local_contrib"]
+         "top_words_by_class", "batch_kpis", "alert_table", "stream_kpis", "linear_local_contrib",
+         "isotonic_recalibrate", "recalibration_report", "lift_intervals", "stream_late_rows", "stream_sessions"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ORDINALIS_ALL") else QUICK
 
 
