@@ -225,6 +225,7 @@ def bootstrap_all(df: DataFrame, by: list[str], replicates: int = 1000, ci: floa
         lifts = weighted_lift(drawn, by) if probabilities else None
     elif mode == "multinomial":
         if probabilities:
+            df = settle(df.select(*by, "id", "y", "yp", "p0"))  # read for edges, cells and the point lift
             cells = settle(score_cells(df, by))
             counts = settle(cells_to_counts(cells, by))
             lifts = multinomial_lift(cells_to_histogram(cells, by), by, replicates, seed)
