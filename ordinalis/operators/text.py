@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +17,7 @@ from ordinalis.functions.hashing import uniform
 from ordinalis.functions.scalar import is_yes, ratio
 from ordinalis.operators.prep import c, melt
 from ordinalis.operators.ranking import exact_quantiles, join_on, top_k_per_group
+from ordinalis.sources.store import Store
 
 # --- audit -------------------------------------------------------------------------------------------------------
 
@@ -194,20 +194,44 @@ def embed_with(df: DataFrame, key: str, text: str, encoder: Callable[[], Callabl
     return base.mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
 
 
-def cached_embeddings(df: DataFrame, key: str, text: str, model: str, path: str, compute) -> DataFrame:
-    """Vectors at `path`, recomputed only when the fingerprint stored next to them differs."""
-    spark = df.sparkSession
-    now = tuple(fingerprint(df, key, text, model).first())
-    try:
-        old = tuple(spark.read.json(f"{path}/meta").select("n", "h1", "h2", "h3", "h4").first())
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        old = None
-    if old != now:
-        compute(df).write.mode("overwrite").parquet(f"{path}/vectors")
-        spark.createDataFrame([now], "n long, h1 long, h2 long, h3 long, h4 long").write.mode("overwrite").json(f"{path}/meta")
-    return spark.read.parquet(f"{path}/vectors")
+def content_digest(text: str, model: str) -> Column:
+    """Digest of (model, text); a NULL text counts as empty."""
+    return F.sha2(F.concat_ws("|", F.lit(model), F.coalesce(c(text), F.lit(""))), 256)
+
+
+def table_digest(df: DataFrame, key: str, text: str, model: str) -> str:
+    """The fingerprint as one name for the store."""
+    return "-".join(format(v or 0, "x") for v in fingerprint(df, key, text, model).first())
+
+
+def cached_embeddings(df: DataFrame, key: str, text: str, model: str, store: Store, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Vectors of a whole table from the store, recomputed when any id or text differs.
+
+    For vectors that depend on the other texts too, as inverse document frequencies do.
+    """
+    return store.cached(f"vectors-{model}", table_digest(df, key, text, model), lambda: compute(df))
+
+
+def encoded_once(df: DataFrame, key: str, text: str, model: str, store: Store, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, embedding) where each different text is encoded once ever: only texts that no stored vector covers are encoded.
+
+    `encode` maps (digest, text) to (digest, embedding) and must not look at other rows.  Repeated texts share a vector; NULL
+    texts count as empty; the key may repeat.  A text that many rows share is hot only as a key of the last join, where the
+    vectors are the side with one row for each digest, and AQE splits the other.
+    """
+    name = f"encoded-{model}"
+    rows = df.select(c(key).alias("_key"), F.coalesce(c(text), F.lit("")).alias("text"), content_digest(text, model).alias("digest"))
+
+    def extend() -> DataFrame:
+        wanted = rows.groupBy("digest").agg(F.first("text").alias("text"))
+        known = store.latest(name)
+        if known is None:
+            return encode(wanted).select("digest", "embedding")
+        new = wanted.join(known.select("digest"), "digest", "left_anti")
+        return known.unionByName(encode(new).select("digest", "embedding"))
+
+    vectors = store.cached(name, table_digest(rows, "digest", "text", model), extend)
+    return rows.join(vectors, "digest").select(F.col("_key").alias(key), "embedding")
 
 
 def embedding_checks(df: DataFrame, key: str, vector: str, ids: DataFrame | None = None) -> DataFrame:

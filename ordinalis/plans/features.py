@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordinalis.constants import (ADDON_COLUMNS, CLASSES, EXTRA_CHARGES, FIBER, FORBIDDEN_TERMS, NO_FRICTION, NO_SERVICES, PROMPT, REFUND,
@@ -15,7 +17,8 @@ from ordinalis.operators.prep import c
 from ordinalis.plans.prep import DATASET, KEY, RAW_COLUMNS, customers, dataset
 from ordinalis.plans.registry import query, r6
 from ordinalis.plans.views import CUSTOMERS, LABELLED, labelled_orders, sql, table, u_sql
-from ordinalis.session import scratch_path, settle
+from ordinalis.session import scratch_path, settle, store_root
+from ordinalis.sources.store import Store
 
 _SERVICES = [x for x in SERVICE_COLUMNS if x in RAW_COLUMNS]
 _yes = lambda n: f"""coalesce(lower(trim("{n}")) IN ('yes','y','true','1'), false)"""
@@ -235,9 +238,36 @@ def dataset_fingerprint(spark, sf):
 
 @query("embed_texts")
 def embed_texts(spark, sf):
+    """Hashed TF-IDF vectors, made by the first call on these texts and read from the store by later ones."""
     docs = table(spark, sf, "documents")
-    return text.cached_embeddings(docs, "doc_id", "text", "hashing-tf", scratch_path(spark, "embeddings"),
-                                  lambda df: text.embed(df, "doc_id", "text"))
+    return text.cached_embeddings(docs, "doc_id", "text", "hashing-tf-256", Store(spark, store_root(spark)),
+                                  lambda df: text.embed(df, "doc_id", "text", 256))
+
+
+def letter_shares(df):
+    """(digest, embedding) of a text on its own: how many of its characters are a, e, i, o and u."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    share = lambda x: ((F.length("text") - F.length(F.replace("text", F.lit(x)))) / n).cast("float")
+    return df.select("digest", F.array(*[share(x) for x in "aeiou"]).alias("embedding"))
+
+
+@query("vector_store_reuse", sql("""t AS (SELECT doc_id, coalesce(text,'') AS a, case when doc_id%10=0 then coalesce(text,'') || ' (revised)' else coalesce(text,'') END AS b FROM documents)""",
+    """SELECT 'all new' AS state, count(*) AS n_rows, (SELECT count(DISTINCT a) FROM t) AS n_encoded FROM t UNION ALL
+    SELECT 'same again', count(*), 0 FROM t UNION ALL
+    SELECT 'some revised', count(*), (SELECT count(DISTINCT b) FROM t WHERE b NOT IN (SELECT a FROM t)) FROM t"""))
+def vector_store_reuse(spark, sf):
+    """What is encoded when the documents are first met, met again, and met with every tenth one revised."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    body = F.coalesce("text", F.lit(""))
+    revised = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(body, F.lit(" (revised)"))).otherwise(body))
+    store, out, done = Store(spark, scratch_path(spark, "store")), [], 0
+    for state, rows in (("all new", docs), ("same again", docs), ("some revised", revised)):
+        vectors = text.encoded_once(rows, "doc_id", "text", "vowels", store, letter_shares)
+        stored = store.latest("encoded-vowels").count()
+        out.append(vectors.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(state).alias("state"), "n_rows", F.lit(stored - done).cast("long").alias("n_encoded")))
+        done = stored
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("embedding_checks", sql("""v AS (SELECT vec_id, unnest(range(1, len(embedding)+1)) AS pos, unnest(embedding)::double AS v FROM embeddings)""",

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ordinalis.constants import CONSTANT_COLUMNS, LEAK_COLUMNS, SCORE_MAPS
 from ordinalis.operators import prep
-from ordinalis.operators import ranking
+from ordinalis.operators import ranking, sampling
 from ordinalis.plans.registry import query, r6
 from ordinalis.plans.views import (CUSTOMERS, LABELLED, LONG, SCORED, SEG_SCORED, customers, labelled_orders, scored,
-                                   scored_long, sql, table, with_segments)
-from ordinalis.session import scratch_path
+                                   scored_long, sql, table, u_sql, with_segments)
+from ordinalis.session import scratch_path, store_root
 from ordinalis.sources import sinks, tables
+from ordinalis.sources.store import Store
 
 KEY = "Customer ID"
 
@@ -139,6 +140,16 @@ def save_load_splits(spark, sf):
     return sinks.save_splits(rows, "hash", path)
 
 
+@query("stored_splits", sql(LABELLED, """SELECT id, case when rn <= tr then 'train' when rn <= tr + round_even(n*0.2::double,0) then 'val' else 'test' end AS split
+    FROM (SELECT id, row_number() OVER (PARTITION BY y ORDER BY """ + u_sql("naive", "id::varchar") + """, id) AS rn, count(*) OVER (PARTITION BY y) AS n,
+    round_even(count(*) OVER (PARTITION BY y)*0.6::double,0) AS tr FROM labelled)"""))
+def stored_splits(spark, sf):
+    """Stratified splits drawn by the first call on these rows and read by all later ones."""
+    rows = labelled_orders(spark, sf).select("id", "y")
+    return sinks.stored_splits(rows, "id", "y", "naive-60-20-42", Store(spark, store_root(spark)),
+                               lambda df: sampling.naive_split(df, "id", "y"))
+
+
 @query("artifact_inventory", sql("""SELECT name, n_rows IS NOT NULL AS present, coalesce(n_rows,0) AS n_rows,
     coalesce(n_columns,0)::int AS n_columns FROM (VALUES ('orders'),('customer'),('nation'),('missing')) e(name)
     LEFT JOIN (SELECT 'orders' AS name, count(*) AS n_rows, 6 AS n_columns FROM orders UNION ALL

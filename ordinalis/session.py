@@ -53,6 +53,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def store_root(spark: SparkSession) -> str:
+    """Folder of the store: beside the checkpoints of all sessions where the cluster names a folder, else this session's own."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or shared_dir(spark)).rstrip('/')}/store"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)

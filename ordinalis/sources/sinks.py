@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordinalis.sources.store import Store
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
@@ -35,6 +38,17 @@ def load_splits(spark: SparkSession, strategy: str, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("strategy") == strategy)
 
 
+def stored_splits(rows: DataFrame, key: str, label: str, strategy: str, store: Store, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Splits of these ids and labels from the store, drawn once: the same rows get the same splits in every later job.
+
+    `strategy` has to name all parameters of the draw, the seed included.  A changed, new or lost id or label draws anew.
+    """
+    pair = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(label).cast("string"), F.lit(""))))
+    part = lambda at: F.sum(F.conv(F.substring(pair, at, 6), 16, 10).cast("long"))
+    seen = rows.agg(F.count(F.lit(1)), *[part(1 + 6 * i) for i in range(4)]).first()
+    return store.cached(f"splits-{strategy}", "-".join(format(v or 0, "x") for v in seen), lambda: split(rows))
+
+
 def inventory(spark: SparkSession, expected: list[str], tables: dict[str, DataFrame]) -> DataFrame:
     """(name, present, n_rows, n_columns) for every expected table."""
     spine = spark.createDataFrame([(n,) for n in expected], "name string")

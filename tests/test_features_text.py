@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ordinalis.constants import CLASSES
 from ordinalis.operators import encoding, features, sampling, text
 from ordinalis.session import scratch_path
+from ordinalis.sources.store import Store
 
 KEY = "Customer ID"
 
@@ -149,7 +150,7 @@ def test_fingerprint_and_vectors(spark):
         calls.append(1)
         return text.embed(rows, "id", "t", 16)
 
-    path = scratch_path(spark, "emb")
+    path = Store(spark, scratch_path(spark, "emb"))
     first = text.cached_embeddings(df, "id", "t", "m", path, compute)
     again = text.cached_embeddings(df, "id", "t", "m", path, compute)
     assert len(calls) == 1 and first.count() == again.count() == 20
