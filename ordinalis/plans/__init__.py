@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("evaluation", "bootstrap", "prep", "assoc", "ordering", "features", "monitoring", "modelling")
+FAMILIES = ("evaluation", "bootstrap", "prep", "assoc", "ordering", "features", "monitoring", "modelling", "champion")
 
 
 def load() -> None:

@@ -238,7 +238,7 @@ def dataset_fingerprint(spark, sf):
 
 @query("embed_texts")
 def embed_texts(spark, sf):
-    """Hashed TF-IDF vectors, made by the first call on these texts and read from the store by later ones."""
+    """Hashed TF-IDF vectors, made by the first call on these texts and read from the store by later ones of the session."""
     docs = table(spark, sf, "documents")
     return text.cached_embeddings(docs, "doc_id", "text", "hashing-tf-256", Store(spark, store_root(spark)),
                                   lambda df: text.embed(df, "doc_id", "text", 256))

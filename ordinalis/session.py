@@ -54,8 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def store_root(spark: SparkSession) -> str:
-    """Folder of the store: beside the checkpoints of all sessions where the cluster names a folder, else this session's own."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or shared_dir(spark)).rstrip('/')}/store"
+    """Folder of the store that the registered queries share: of this session only, so that each session does its own work.
+
+    A job that wants to keep results between sessions gives `Store` a folder of its own.
+    """
+    return f"{shared_dir(spark).rstrip('/')}/store"
 
 
 def settle(df: DataFrame) -> DataFrame:

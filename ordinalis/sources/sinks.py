@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinalis.sources.store import Store
+from ordinalis.sources.store import Store, rows_digest
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -43,10 +43,7 @@ def stored_splits(rows: DataFrame, key: str, label: str, strategy: str, store: S
 
     `strategy` has to name all parameters of the draw, the seed included.  A changed, new or lost id or label draws anew.
     """
-    pair = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(label).cast("string"), F.lit(""))))
-    part = lambda at: F.sum(F.conv(F.substring(pair, at, 6), 16, 10).cast("long"))
-    seen = rows.agg(F.count(F.lit(1)), *[part(1 + 6 * i) for i in range(4)]).first()
-    return store.cached(f"splits-{strategy}", "-".join(format(v or 0, "x") for v in seen), lambda: split(rows))
+    return store.cached(f"splits-{strategy}", rows_digest(rows.select(key, label)), lambda: split(rows))
 
 
 def inventory(spark: SparkSession, expected: list[str], tables: dict[str, DataFrame]) -> DataFrame:
