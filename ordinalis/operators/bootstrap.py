@@ -121,7 +121,10 @@ def cells_to_histogram(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def multinomial_lift(hist: DataFrame, by: list[str], replicates: int = 1000, seed: int = 42,
                      shares: dict[str, float] | None = None) -> DataFrame:
-    """Lift of bootstrap replicates from score histograms; the bin that holds the cut counts pro rata."""
+    """Lift of bootstrap replicates from score histograms; the bin that holds the cut counts pro rata.
+
+    So do rows that tie at the cut, where the point lift takes the lower ids: with large ties the interval need not hold the point.
+    """
     shares = shares or LIFT_SHARES
     blocks = -(-replicates // BLOCK)
     rows = _spread_replicates(hist, by, blocks, seed)   # one row per (group, block of replicates)
