@@ -62,9 +62,13 @@ def quoted(names) -> str:
 
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
-@query("scan_layout")
+_GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+
+
+@query("scan_layout", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, 'parquet' AS format, 'multi' AS layout, true AS used, count(*) AS n_rows FROM {t}" for t in _GIVEN))
 def scan_layout(spark, sf):
-    return tables.scan_layout(tables.list_tables(spark, sf))
+    return tables.scan_contents(spark, sf).select("name", "format", "layout", "used", "n_rows")
 
 
 @query("merge_new_columns", sql(CUSTOMERS, f"SELECT {quoted(_MERGED)} FROM cust"))

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import warnings
+from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinalis.constants import COLUMN_ALIASES
+from ordinalis.session import settle
 
 READERS = ("parquet", "csv", "json", "orc")
 
 
 def list_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, format, bytes) of the data files in a folder, hidden files left out; file contents are not read."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    base = F.element_at(F.split("path", "/"), -1)
-    return (files.select(F.regexp_extract(base, r"^(.*)\.([A-Za-z]+)$", 1).alias("name"),
-                         F.lower(F.regexp_extract(base, r"\.([A-Za-z]+)$", 1)).alias("format"),
-                         F.col("length").alias("bytes"))
-            .filter(F.col("format").isin(*READERS) & ~F.col("name").startswith(".")))
+    """(name, format, n_files, bytes) of the tables in a folder, each a file or a folder of files; contents are not read.
+
+    Hidden files are left out, and so are files that no reader knows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    base = urlsplit(folder).path.rstrip("/")
+    top = F.regexp_extract("path", "^[^/]*(?://[^/]*)?" + re.escape(base) + "/([^/]+)", 1)
+    return (files.select(F.regexp_extract(top, r"^(.*)\.([A-Za-z]+)$", 1).alias("name"),
+                         F.lower(F.regexp_extract(top, r"\.([A-Za-z]+)$", 1)).alias("format"), "length")
+            .filter(F.col("format").isin(*READERS) & ~F.col("name").startswith("."))
+            .groupBy("name", "format").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes")))
 
 
 def scan_layout(listing: DataFrame) -> DataFrame:
@@ -29,7 +37,26 @@ def scan_layout(listing: DataFrame) -> DataFrame:
     picked = listing.agg(columnar, F.min(F.when(F.col("format") == "csv", F.col("name"))).alias("first_csv"))
     kind, first_csv = picked.select(layout).scalar(), picked.select("first_csv").scalar()
     used = (((kind != "csv") & (F.col("format") != "csv")) | ((kind == "csv") & (F.col("name") == first_csv)))
-    return listing.select("name", "format", "bytes", kind.alias("layout"), used.alias("used"))
+    return listing.select("name", "format", "n_files", "bytes", kind.alias("layout"), used.alias("used"))
+
+
+def scan_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout of a folder with what its used tables hold: n_rows and n_columns, NULL for tables that are not used.
+
+    Rows are counted by Spark from file footers where the format has them.  Files of one table may differ in columns: the
+    merged schema counts.  Only names come to the driver.
+    """
+    layout = settle(scan_layout(list_tables(spark, folder)))
+    used = sorted(tuple(r) for r in layout.filter("used").select("name", "format").collect())
+    counted = []
+    for name, fmt in used:
+        reader = spark.read.option("header", True) if fmt == "csv" else spark.read.option("mergeSchema", True)
+        rows = reader.format(fmt).load(f"{folder.rstrip('/')}/{name}.{fmt}")
+        counted.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("name"), F.lit(fmt).alias("format"), "n_rows", F.lit(len(rows.columns)).alias("n_columns")))
+    if not counted:
+        return layout.withColumns({"n_rows": F.lit(None).cast("long"), "n_columns": F.lit(None).cast("int")})
+    return layout.join(reduce(DataFrame.unionByName, counted), ["name", "format"], "left")
 
 
 def load_tables(spark: SparkSession, paths: dict[str, str], schemas: dict | None = None) -> dict[str, DataFrame]:

@@ -51,11 +51,25 @@ def test_layout(spark, tmp_path):
     (folder / "a.csv").write_text("id\n1\n")
     got = {r.name: (r.layout, r.used) for r in tables.scan_layout(tables.list_tables(spark, str(folder))).collect()}
     assert got == {"a": ("csv", True), "b": ("csv", False)}
+    got = {r.name: (r.n_files, r.n_rows, r.n_columns) for r in tables.scan_contents(spark, f"{folder}/").collect()}
+    assert got == {"a": (1, 1, 1), "b": (1, None, None)}
     assert tables.load_tables(spark, {"b": str(folder / "b.csv")})["b"].count() == 3
     with pytest.raises(ValueError):
         tables.load_tables(spark, {"x": "x.xlsx"})
 
 
+def test_scan_of_tables_in_many_files(spark, tmp_path):
+    """Tables are folders of files that differ in columns; hidden files and unknown formats do not count."""
+    folder = tmp_path / "a b+c"
+    spark.range(5).repartition(2).write.parquet(f"{folder}/wide.parquet")
+    spark.range(3).withColumn("x", F.lit(1)).coalesce(1).write.mode("append").parquet(f"{folder}/wide.parquet")
+    spark.range(0).write.parquet(f"{folder}/empty.parquet")
+    (folder / "notes.txt").write_text("x")
+    (folder / ".draft.parquet").write_text("x")
+    got = {r.name: (r.format, r.n_files, r.layout, r.used, r.n_rows, r.n_columns) for r in tables.scan_contents(spark, str(folder)).collect()}
+    assert got == {"wide": ("parquet", 3, "multi", True, 8, 2), "empty": ("parquet", 1, "multi", True, 0, 1)}
+
+
 def test_targets(spark):
     df = frame(spark, [(1,), (2,), (3,), (4,), (5,), (None,)], "`Satisfaction Score` int")
     out = prep.add_all_targets(df)
