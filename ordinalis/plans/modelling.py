@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from ordinalis.operators import encoding, explain, features, models, ranking, sa
 from ordinalis.operators.evaluation import hybrid_modes
 from ordinalis.operators.prep import c
 from ordinalis.plans.evaluation import AUDIT, MODES
-from ordinalis.plans.prep import KEY, dataset
+from ordinalis.plans.ordering import _naive_sql
+from ordinalis.plans.prep import DATASET, KEY, dataset
 from ordinalis.plans.registry import query, r6
 from ordinalis.plans.views import LONG, scored_long, sql, table
 from ordinalis.session import scratch_path, settle
@@ -68,7 +72,20 @@ def run_baselines(spark, sf):
     _, _, rows = encoded_rows(spark, sf)
     rows = rows.withColumn("y_alt", F.col("y"))
     targets = {"alternative": "y_alt", "baseline": "y_base"}
-    return r6(models.run_baselines(rows, targets, ["logistic", "ordinal"], FAST))
+    return r6(models.run_baselines(rows, targets, params=FAST))
+
+
+_NAIVE = "sp AS (" + _naive_sql("ds", '"Customer ID"', '"NPS_alternative"', "naive", "test") + ")"
+
+
+@query("baseline_rules", sql(DATASET, _NAIVE, "SELECT target, model, split, count(*) AS n, true AS in_range "
+       "FROM sp, (VALUES ('alternative'), ('baseline')) t(target), (VALUES ('boosted'), ('logistic'), ('ordinal')) m(model) GROUP BY ALL"))
+def baseline_rules(spark, sf):
+    """Each family on each target: rows of every split, and whether all metrics lie where they can."""
+    out = run_baselines(spark, sf)
+    shares = ["macro_f1", "balanced_acc", "recall_detractor", "recall_passive", "recall_promoter"]
+    fine = [F.col(x).between(0, 1) for x in shares] + [F.col("qwk").between(-1, 1), F.col("lift_10") >= 0]
+    return out.select("target", "model", "split", "n", F.coalesce(reduce(and_, fine), F.lit(False)).alias("in_range"))
 
 
 @query("tune")
