@@ -249,13 +249,17 @@ def get_split(df: DataFrame, splits: DataFrame, kind: str, target: str, key: str
 
 
 def cohort(df: DataFrame, filters: dict[str, object], score: str, k: int, key: str) -> DataFrame:
-    """Top-k call list under equality filters, with the list's share of the whole population in percent."""
+    """Top-k call list under equality filters, with the list's share of the whole population in percent.
+
+    The list may be shorter than k; its share counts the rows it has.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = df
     for name, value in filters.items():
         rows = rows.filter(c(name) == value)
     top = rows.orderBy(c(score).desc(), c(key).asc()).limit(k)
-    return top.withColumn("pct_of_population", ratio(F.lit(100.0 * k), total))
+    found = F.least(F.lit(k), rows.agg(F.count(F.lit(1))).scalar())
+    return top.withColumn("pct_of_population", ratio(F.lit(100.0) * found, total))
 
 
 def lookup_row(ranked: DataFrame, key: str, value) -> DataFrame:

@@ -308,7 +308,7 @@ _TOP = 100
 
 
 @query("cohort_filter", sql(SEG_SCORED, f"""SELECT id, mktsegment, status, round(p0,6) AS p0,
-    round({100.0 * _TOP}/(SELECT count(*) FROM seg_scored),6) AS pct_of_population
+    round(100.0::double*(SELECT least({_TOP}, count(*)) FROM seg_scored WHERE mktsegment='BUILDING' AND status='F')/(SELECT count(*) FROM seg_scored),6) AS pct_of_population
     FROM seg_scored WHERE mktsegment='BUILDING' AND status='F' ORDER BY seg_scored.p0 DESC, id LIMIT {_TOP}"""))
 def cohort_filter(spark, sf):
     rows = with_segments(spark, sf, scored(spark, sf)).select("id", "mktsegment", "status", "p0")

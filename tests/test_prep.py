@@ -154,3 +154,11 @@ def test_spearman_with_ties_and_nulls(spark, distributed):
     got = assoc.spearman(spark.createDataFrame(rows, "t double, x double"), ["x"], "t").first().spearman_r
     pdf = pd.DataFrame(rows, columns=["t", "x"]).dropna()
     assert got == pytest.approx(pdf.t.rank().corr(pdf.x.rank()))
+
+
+def test_share_of_a_short_call_list(spark):
+    df = frame(spark, [(i, "a" if i < 3 else "b", i / 10) for i in range(10)], "id int, seg string, p double")
+    got = prep.cohort(df, {"seg": "a"}, "p", 5, "id").collect()
+    assert [r.id for r in got] == [2, 1, 0] and {r.pct_of_population for r in got} == {30.0}
+    assert {r.pct_of_population for r in prep.cohort(df, {"seg": "b"}, "p", 5, "id").collect()} == {50.0}
+    assert prep.cohort(df, {"seg": "none"}, "p", 5, "id").count() == 0
