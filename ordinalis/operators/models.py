@@ -37,6 +37,11 @@ def class_weight(train: DataFrame, label: str = "y") -> Column:
     return out.otherwise(0.0)
 
 
+def with_weights(train: DataFrame) -> DataFrame:
+    """Training rows with their class weight `_w`; rows that have it already come back as they are."""
+    return train if "_w" in train.columns else train.withColumn("_w", class_weight(train))
+
+
 def _positive(stage, df: DataFrame, name: str) -> DataFrame:
     """Probability of the second class of a binary model as column `name`."""
     out = stage.transform(df)
@@ -83,7 +88,7 @@ def load_model(spark: SparkSession, path: str) -> Classifier:
 
 
 def fit_logistic(train: DataFrame, reg: float = 0.01, elastic: float = 0.0, iterations: int = 100) -> Classifier:
-    rows = train.withColumn("_w", class_weight(train))
+    rows = with_weights(train)
     lr = LogisticRegression(labelCol="y", weightCol="_w", family="multinomial", regParam=reg, elasticNetParam=elastic,
                             maxIter=iterations)
     return Classifier("logistic", [lr.fit(rows)])
@@ -101,7 +106,7 @@ def fit_ordinal(train: DataFrame, reg: float = 0.01, iterations: int = 100) -> C
 
 def fit_boosted(train: DataFrame, depth: int = 4, iterations: int = 20, step: float = 0.1, seed: int = 42) -> Classifier:
     """Boosted trees, one-vs-rest with normalised probabilities; the three fits run side by side."""
-    weighted = train.withColumn("_w", class_weight(train))
+    weighted = with_weights(train)
 
     def one(k: int):
         rows = weighted.withColumn("_t", (F.col("y") == k).cast("int"))

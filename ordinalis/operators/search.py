@@ -1,7 +1,7 @@
 """Search over model families and feature spaces by successive halving, refit of the best, and scores for every split.
 
 Each trial is a seeded random point.  A rung fits the trials still alive on a growing, nested, stratified part of the training
-rows (boosting rounds grow with it), all of them are judged on `val` by one grouped aggregation, and the best third goes on.
+rows (boosting rounds grow with it), each is judged on `val` by one aggregation, and the best third goes on.
 The parts are shares, so they grow with the table; only one number per trial comes to the driver.
 """
 
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from ordinalis.constants import SEED
 from ordinalis.functions.hashing import uniform
 from ordinalis.operators.evaluation import evaluate
-from ordinalis.operators.models import FITTERS, Classifier
+from ordinalis.operators.models import FITTERS, Classifier, with_weights
 from ordinalis.operators.ranking import attach_thresholds
 from ordinalis.session import settle
 
 RUNGS = (1 / 9, 1 / 3, 1.0)
+PART_ROWS = 30_000   # rows that a task of a fit or of a judgement should have at least: with fewer it is mostly waiting
 LOG = "space string, model string, number int, rung int, n_train long, value double, kept boolean, params string"
 
 
@@ -63,6 +64,11 @@ def rung_rows(train: DataFrame, key: str = "id", label: str = "y", seed: int = S
     return train.join(flags.select(key, *cuts), key)
 
 
+def in_parts(df: DataFrame, n: int) -> DataFrame:
+    """The n rows in at most as many partitions as PART_ROWS asks for; partitions are only put together, never split."""
+    return df.coalesce(max(1, math.ceil(n / PART_ROWS)))
+
+
 def halving(df: DataFrame, budgets: dict[str, int], spaces: list[str], metric: str = "qwk", parallel: int = 8,
             seed: int = SEED) -> tuple[DataFrame, dict[str, tuple[str, dict]]]:
     """(trial log, {space: (model, parameters) of its best trial}).
@@ -76,24 +82,25 @@ def halving(df: DataFrame, budgets: dict[str, int], spaces: list[str], metric: s
     spark = df.sparkSession
     train = settle(rung_rows(df.filter("split = 'train'").select("id", "y", *spaces), seed=seed))
     val = settle(df.filter("split = 'val'").select("id", "y", *spaces))
+    val = in_parts(val, val.count())
     points = {m: draw_points(m, n, seed) for m, n in budgets.items()}
     alive = [(spaces[i % len(spaces)], m, i) for m in budgets for i in range(len(points[m]))]
     log, value = [], {}
     for rung, share in enumerate(RUNGS):
         part = settle(train.filter(f"_r{rung}").select("y", *spaces))
         n_train = part.count()
-        rows = {s: part.select("y", F.col(s).alias("features")) for s in spaces}
+        weighed = in_parts(with_weights(part), n_train)  # one pass for the class sizes, not one a fit
+        rows = {s: weighed.select("y", "_w", F.col(s).alias("features")) for s in spaces}
 
-        def fit(trial: tuple[str, str, int]) -> Classifier:
+        def judge(trial: tuple[str, str, int]) -> float | None:
+            """Fit and judge in one thread, so that one trial's plans are made while another one's tasks run."""
             s, m, i = trial
-            return FITTERS[m](rows[s], **_at_rung(m, points[m][i], share))  # noqa: B023
+            model = FITTERS[m](rows[s], **_at_rung(m, points[m][i], share))  # noqa: B023
+            out = model.score(val.select("id", "y", F.col(s).alias("features")))
+            return evaluate(out, [], probabilities=False).first()[metric]
 
         with ThreadPoolExecutor(parallel) as pool:
-            fitted = list(pool.map(fit, alive))
-        scored = [model.score(val.select("id", "y", F.col(s).alias("features"))).select(F.lit(at).alias("trial"), "y", "yp")
-                  for at, ((s, _, _), model) in enumerate(zip(alive, fitted))]
-        found = evaluate(reduce(DataFrame.unionByName, scored), ["trial"], probabilities=False).select("trial", metric).collect()
-        value = {alive[r["trial"]]: r[metric] for r in found}
+            value = dict(zip(alive, pool.map(judge, alive), strict=True))
         rank = lambda t: (-(value.get(t) if value.get(t) is not None else -math.inf), t[2])  # noqa: E731, B023
         last, kept = rung == len(RUNGS) - 1, []
         for s in spaces:
@@ -109,14 +116,16 @@ def halving(df: DataFrame, budgets: dict[str, int], spaces: list[str], metric: s
 
 def refit(df: DataFrame, space: str, model: str, params: dict) -> Classifier:
     """The chosen point on all training rows."""
-    return FITTERS[model](settle(df.filter("split = 'train'").select("y", F.col(space).alias("features"))), **params)
+    train = settle(df.filter("split = 'train'").select("y", F.col(space).alias("features")))
+    return FITTERS[model](in_parts(train, train.count()), **params)
 
 
 def score_champions(df: DataFrame, best: dict[str, tuple[str, dict]]) -> DataFrame:
     """(id, split, y, model, yp, p0..p2): every row scored by the refitted champion of every space; `model` is space:family."""
+    with ThreadPoolExecutor(len(best)) as pool:
+        fitted = list(pool.map(lambda space: refit(df, space, *best[space]), best))
     parts = []
-    for space, (name, params) in best.items():
-        rows = df.select("id", "split", "y", F.col(space).alias("features"))
-        out = refit(df, space, name, params).score(rows)
+    for (space, (name, _)), model in zip(best.items(), fitted, strict=True):
+        out = model.score(df.select("id", "split", "y", F.col(space).alias("features")))
         parts.append(out.select("id", "split", "y", F.lit(f"{space}:{name}").alias("model"), "yp", "p0", "p1", "p2"))
     return reduce(DataFrame.unionByName, parts)

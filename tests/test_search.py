@@ -48,6 +48,15 @@ def test_halving_finds_the_space_that_tells(rows):
     assert same == best and again.select(*key, F.round("value", 6)).exceptAll(log.select(*key, F.round("value", 6))).count() == 0
 
 
+def test_fits_wait_for_few_tasks_and_weigh_classes_once(spark, rows, monkeypatch):
+    seen = []
+    real = search.FITTERS["logistic"]
+    monkeypatch.setitem(search.FITTERS, "logistic", lambda df, **kw: (seen.append((df.rdd.getNumPartitions(), "_w" in df.columns)), real(df, **kw))[1])
+    search.halving(rows.repartition(7), {"logistic": 2}, ["told"])
+    assert seen and set(seen) == {(1, True)}
+    assert search.in_parts(spark.range(0, 10, 1, 7), 10 * search.PART_ROWS).rdd.getNumPartitions() == 7  # never split
+
+
 def test_a_space_without_trials_is_an_error(rows):
     with pytest.raises(ValueError):
         search.halving(rows, {"logistic": 1}, ["told", "noise"])
