@@ -55,6 +55,38 @@ def test_without_probabilities_lift_is_skipped(spark):
     assert {r.metric for r in out.collect()} == {"qwk", "macro_f1", "balanced_acc", "detractor_recall"}
 
 
+def test_draws_are_one_row_a_drawn_row_and_follow_the_keyed_hash(spark):
+    from ordinalis.functions.hashing import uniform
+    df = noisy(spark, 90)
+    drawn = bs.index_draws(df, ["g"], 4)
+    assert drawn.count() <= 90 and drawn.select(F.sum(F.size("_bs"))).first()[0] == 4 * 90
+    got = sorted((r.g, r.y, r.id, r.b, r.w) for r in bs.draw_weights(drawn).collect())
+    groups = {}
+    for r in df.orderBy("id").collect():
+        groups.setdefault((r.g, r.y), []).append(r.id)
+    u = {(r.b, r.y, r.j): r.u for r in spark.range(1, 91).withColumnRenamed("id", "j").crossJoin(spark.range(3).withColumnRenamed("id", "y"))
+         .crossJoin(spark.range(1, 5).withColumnRenamed("id", "b")).withColumn("u", uniform(42, "boot", F.col("b"), F.col("y"), F.col("j"))).collect()}
+    want = {}
+    for (g, y), ids in groups.items():
+        for b in range(1, 5):
+            for j in range(1, len(ids) + 1):
+                at = (g, y, ids[int(u[b, y, j] * len(ids))], b)
+                want[at] = want.get(at, 0) + 1
+    assert got == sorted((*k, w) for k, w in want.items())
+
+
+def test_weighted_lift_orders_missing_and_tied_scores_as_the_plain_order_does(spark):
+    rows = [(i, i % 3, 1 + i % 4, None if i % 17 == 0 else float("nan") if i % 19 == 0 else (i * 7 % 5) / 5, i % 2) for i in range(120)]
+    df = spark.createDataFrame([(*r, b) for r in rows for b in (1, 2)], "id long, y int, w long, p0 double, g int, b int")
+    key = lambda r: (0 if r[3] is None else 1, 0 if r[3] is None else float("inf") if r[3] != r[3] else -r[3], r[0])
+    for out in bs.weighted_lift(df, ["g"]).collect():
+        copies = [r for r in sorted((r for r in rows if r[4] == out.g), key=key) for _ in range(r[2])]
+        base = sum(r[1] == 0 for r in copies) / len(copies)
+        for name, share in (("lift_10", 0.1), ("lift_20", 0.2)):
+            k = max(1, int(len(copies) * share))
+            assert abs(out[name] - sum(r[1] == 0 for r in copies[:k]) / k / base) < 1e-12
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         bs.bootstrap_all(noisy(spark), [], 5, mode="jackknife")
