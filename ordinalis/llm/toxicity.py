@@ -287,10 +287,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str = "doc_id", text: str = "text",
-                    label: str = "toxic") -> tuple[list[tuple[str, int]], float]:
-    """At most `per_class` toxic and twice as many clean whole texts outside the held-out fold, and the share of toxic rows among
-    all labelled ones.
+def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str = "doc_id", text: str = "text",
+                label: str = "toxic") -> tuple[DataFrame, float]:
+    """(text, y) of at most `per_class` toxic and twice as many clean whole texts outside the held-out fold, and the share of toxic rows among
+    all labelled ones, in a fixed order.
 
     Rows are taken by hash of their id, so they are spread over the whole table: first all below a bound that leaves a few
     more than needed, so that tasks send no more however many there are. This bounds what training needs; scoring reads
@@ -308,15 +308,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, doc_id:
         picked = near if picked is None else picked.unionByName(near)
     texts = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text"))
     found = texts.join(F.broadcast(picked), F.col("of") == F.col("id")).where("text is not null")
-    taken = found.select("k", "id", "y", "text").orderBy("k", "id", "text").limit(3 * per_class).collect()
-    return [(r["text"], r["y"]) for r in taken], counts.get(1, 0) / max(1, sum(counts.values()))
+    return found.orderBy("k", "id", "text").limit(3 * per_class).select("text", "y"), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str = "doc_id", text: str = "text",
+                    label: str = "toxic") -> tuple[list[tuple[str, int]], float]:
+    """The rows of `sample_rows` as a list, and the share."""
+    rows, share = sample_rows(docs, labels, per_class, doc_id, text, label)
+    return [(r["text"], r["y"]) for r in rows.collect()], share
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str, text: str, label: str):
-    """The model of a bounded sample, fitted on the driver and broadcast; its size is fixed by the number of buckets."""
-    sample, share = labelled_sample(docs, labels, per_class, doc_id, text, label)
-    model = train([t for t, _ in sample], [y for _, y in sample], toxic_share=share)
-    return docs.sparkSession.sparkContext.broadcast(model.bucket_scores())
+    """The model of a bounded sample, fitted in one task and broadcast; its size is fixed by the number of buckets.
+
+    Texts stay on the executors: the driver sees the model's scores only, so its memory doesn't grow with the sampled texts.
+    """
+    sample, share = sample_rows(docs, labels, per_class, doc_id, text, label)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            marks += batch.column("y").to_pylist()
+        if texts:
+            scores, constant, odds, empty = train(texts, marks, toxic_share=share).bucket_scores()
+            yield pa.RecordBatch.from_arrays([pa.array([scores.tobytes()]), pa.array([constant]), pa.array([odds.tolist()]), pa.array([empty])],
+                                             names=["scores", "constant", "odds", "empty"])
+
+    made = sample.mapInArrow(fit, "scores binary, constant double, odds array<double>, empty double").collect()
+    # An empty sample has no task that fits it.
+    model = [(np.frombuffer(r["scores"]), r["constant"], np.array(r["odds"]), r["empty"]) for r in made] or [train([], [], toxic_share=share).bucket_scores()]
+    return docs.sparkSession.sparkContext.broadcast(model[0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2500, doc_id: str = "doc_id",

@@ -1,5 +1,6 @@
 """Trained operators: held-out results, whole texts, odd rows."""
 
+import os
 import random
 import re
 import zlib
@@ -109,6 +110,26 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(ODD)
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver neither fetches the sampled texts nor trains on them, and the task's model is that of the sample."""
+    texts = [f"it was then said that a {'stupid clown' if i % 2 else 'nice day'} came {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample, share = toxicity.labelled_sample(docs, labels, 100)
+    wanted = toxicity.Scorer(*toxicity.train([t for t, _ in sample], [y for _, y in sample], toxic_share=share).bucket_scores()).score(texts)
+
+    real, driver = toxicity.train, os.getpid()
+
+    def train(*args, **named):
+        assert os.getpid() != driver, "trained on the driver"
+        return real(*args, **named)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert np.abs(np.array([got[i] for i in range(60)]) - wanted).max() < 1e-3
+    assert toxicity.drop_toxic(docs, labels).count() == (wanted < 0.3).sum()
+
+
 def test_language_held_out():
     found = rows(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'")
     fold = [r for r in found if zlib.crc32(str(r[0]).encode()) % 4 == 2]
