@@ -11,6 +11,7 @@ from ordinalis.functions.scalar import alert_status, ratio
 from ordinalis.operators.evaluation import evaluate, to_long
 from ordinalis.operators.fairness import melt_segments
 from ordinalis.operators.windows import escalate
+from ordinalis.session import settle
 
 KPIS = {"qwk": "qwk", "macro_f1": "macro_f1", "detractor_recall": "detractor_recall", "lift_10": "lift@10"}
 # Metric -> class whose per-group recall band is its reference.
@@ -71,9 +72,10 @@ def reference_ci(cells: DataFrame, per_group: DataFrame, headline: DataFrame, sp
 def alert_table(kpis: DataFrame, per_group: DataFrame, headline: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Status against the reference band and severity against the previous batch for every cell.
 
-    Window partitions treat NULL segment / group as equal, so global cells need no stand-in value.
+    Window partitions treat NULL segment / group as equal, so global cells need no stand-in value. The three inputs are result
+    tables with long plans; they are settled, as one plan of all of them takes the driver longer than the work itself.
     """
-    placed = reference_ci(kpis, per_group, headline)
+    placed = reference_ci(settle(kpis), settle(per_group), settle(headline))
     placed = placed.withColumn("status", alert_status(F.col("value"), F.col("ref_lo"), F.col("ref_hi")))
     out = escalate(placed, CELL, batch)
     return out.select("model", batch, "metric", "segment", "group", F.col("value").alias("observed"), "ref_lo", "ref_hi",

@@ -49,6 +49,17 @@ def test_alert_table_and_summary(spark):
     assert (s.total, s.ok, s.warn, s.alert) == (5, 2, 2, 1)
 
 
+def test_alert_table_is_planned_apart_from_its_inputs(spark):
+    """The plans of the KPIs and of both references end before the table's own: together they took the driver minutes."""
+    rows = [("C1", b, 10, 0, 9, "detractor_recall", v, None, None) for b, v in enumerate([0.62, 0.4])]
+    kpis = spark.createDataFrame(rows, "model string, batch_id int, batch_size int, first_id int, last_id int, metric string, "
+                                       "value double, segment string, `group` string")
+    long = [df.groupBy(*df.columns).count().drop("count") for df in (kpis, *reference(spark))]
+    table = monitor.alert_table(*long)
+    assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.severity for r in table.orderBy("batch_id").collect()] == ["ok", "warn"]
+
+
 def test_threshold_rules(spark):
     df = spark.createDataFrame([(1, 0.05, 0.2), (2, 0.12, 0.15), (3, 0.13, 0.31), (4, 0.09, 0.2)], "m int, ece double, selection_rate double")
     got = monitor.threshold_rules(df.withColumn("k", F.lit(1)), ["k"], "m").orderBy("m").collect()
