@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,9 @@ CONTEXT = REACH + LENGTH
 COLUMNS = range(REACH % BLOCK, CONTEXT - BLOCK + 1, BLOCK)
 #: Blocks that lie within any string of LENGTH bytes, however it is placed.
 WHOLE = (LENGTH - BLOCK + 1) // BLOCK
-#: Different contexts of one anchor that are sorted in one task; larger groups are split by the strings' common middles.
-GROUP, SLOT = 10_000, 13
+#: Different contexts of one anchor that are sorted in one task; larger groups are split by the middles that strings at near
+#: shifts share: first at two slots of shifts, then, where a middle is itself too frequent, at slots within these.
+GROUP, SLOTS = 10_000, (91, 13)
 #: Contexts handled at once.
 BATCH = 4000
 
@@ -258,27 +258,40 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(held)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a large group, once for each slot of shifts, grouped by the bytes that all strings of the slot share."""
-    for batch in batches:
-        out: dict[str, list] = defaultdict(list)
-        for r in batch.to_pylist():
-            after = len(r["context"]) - r["before"]
-            for low in range(max(0, LENGTH - after) // SLOT * SLOT, r["before"] + 1, SLOT):
-                high = min(low + SLOT - 1, REACH)
-                a, b = max(low, LENGTH - after), min(high, r["before"])
-                if a <= b:
-                    # Contexts that stop within a slot share fewer bytes with it; the slot's middle is the same for all.
-                    middle = r["context"][max(0, r["before"] - low):max(0, r["before"] + LENGTH - high)]
-                    out["grp"].append(signed64(xxhash.xxh64_intdigest(r["key"].to_bytes(8, "little", signed=True) + bytes([low]) + middle)))
-                    for name, value in (("key", r["key"]), ("digest", r["digest"]), ("n", r["n"]), ("before", r["before"]), ("context", r["context"]), ("low", low), ("high", high)):
-                        out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out["grp"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["digest"], pa.int64()), pa.array(out["n"], pa.int64()),
-                                          pa.array(out["before"], pa.int16()), pa.array(out["context"], pa.binary()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32())],
-                                         names=["grp", "key", "digest", "n", "before", "context", "low", "high"])
-
-
-_SOLVABLE = "grp bigint, key bigint, digest bigint, n bigint, before smallint, context binary, low int, high int"
+def slots_of(contexts: DataFrame, size: int) -> DataFrame:
+    """(key, digest, grp, low, high): the slots of `size` shifts in which a context has strings between `low` and `high`,
+    grouped by the bytes that all strings of the slot share. The bytes themselves stay behind."""
+    first = F.greatest(F.col("low"), F.lit(LENGTH) - F.length("context") + F.col("before"))
+    last = F.least(F.col("high"), F.col("before").cast("int"))
+    start = (F.floor(first / size) * size).cast("int")
+    cut = contexts.where(first <= last).withColumn("slot", F.explode(F.sequence(start, last, F.lit(size))))
+    end = F.least(F.col("slot") + F.lit(size - 1), F.lit(REACH))
+    # Contexts with strings in a slot hold all of its middle, which is thus the same for all.
+    middle = F.substring("context", F.col("before") - F.col("slot") + 1, F.lit(LENGTH) - end + F.col("slot"))
+    return cut.select("key", "digest", F.xxhash64("key", "slot", middle).alias("grp"), F.col("slot").alias("low"), end.alias("high"))
+
+
+def split(hot: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Contexts of large groups in groups of at most GROUP, and those that are left over, both None where there are none.
+
+    Each is (grp, key, digest, n, before, context, low, high). A middle that stands in one context only tells that the
+    context's strings at these shifts stand nowhere else, so only contexts that share one are read again.
+    """
+    small, asked = None, hot.withColumns({"low": F.lit(0), "high": F.lit(REACH)})
+    for size in SLOTS:
+        cut = settle(slots_of(asked, size))
+        rows = cut.groupBy("grp").agg(F.count("*").alias("rows")).where("rows > 1")
+        shared = settle(cut.join(rows, "grp"))
+        fits = hot.join(shared.where(F.col("rows") <= GROUP), ["key", "digest"]).select(*_SOLVABLE)
+        small = fits if small is None else small.unionByName(fits)
+        left = shared.where(F.col("rows") > GROUP)
+        if left.isEmpty():
+            return small, None
+        asked = hot.join(left, ["key", "digest"]).select(*_SOLVABLE)
+    return small, asked
+
+
+_SOLVABLE = ("grp", "key", "digest", "n", "before", "context", "low", "high")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -317,8 +330,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Every such string has an anchor chosen by its content alone, so equal strings meet at equal anchors. Anchors that occur
     once drop out on eight bytes each. For the rest, equal contexts are one row with a count; the different contexts of an
     anchor are sorted as suffixes of blocks, and neighbours are then compared string by string, so the result is exact.
-    An anchor with more than GROUP different contexts is split by the middles that strings at near shifts share, and what
-    is still larger is counted string by string: no task sees an unbounded group.
+    An anchor with more than GROUP different contexts is split by the middles that strings at near shifts share, of which
+    only hashes are brought together, and what is still larger is counted string by string: no task sees an unbounded group.
 
     A null text is empty; texts shorter than 200 bytes lose nothing. Rows that share id and text count as two places and
     get equal results. Rows without an id are documents like others; an empty table gives an empty one. Other columns are
@@ -342,21 +355,23 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     contexts = settle(found.repartition("key").sortWithinPartitions("key"))
 
     large = small_side(sizes.where(F.col("kinds") > GROUP).select("key"))
-    plain = contexts.join(large, "key", "left_anti").select(F.col("key").alias("grp"), "*", F.lit(0).alias("low"), F.lit(REACH).alias("high"))
-    slots = settle(contexts.join(large, "key", "left_semi").mapInArrow(_slots, _SOLVABLE))
-    filled = slots.groupBy("grp").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where(F.col("all") > 1)
-    small = plain.unionByName(slots.join(filled.where(F.col("rows") <= GROUP).select("grp"), "grp"))
+    small = contexts.join(large, "key", "left_anti").select(F.col("key").alias("grp"), "*", F.lit(0).alias("low"), F.lit(REACH).alias("high"))
+    rest = None
+    if not large.isEmpty():
+        parts, rest = split(contexts.join(large, "key", "left_semi"))
+        small = small.unionByName(parts)
     solved = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_solve, "key bigint, digest bigint, first int, last int")
 
-    # Strings of slots that are still large, one row for each shift.
-    rest = slots.join(filled.where(F.col("rows") > GROUP).select("grp"), "grp")
-    shifts = rest.withColumn("shift", F.explode(F.sequence("low", "high"))).where(
-        (F.col("shift") <= F.col("before")) & (F.length("context") - F.col("before") + F.col("shift") >= LENGTH))
-    strings = shifts.select("key", "digest", "n", "shift", F.md5(F.substring("context", F.col("before") - F.col("shift") + 1, F.lit(LENGTH))).alias("s"))
-    again = strings.groupBy("key", "shift", "s").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    counted = strings.join(again, ["key", "shift", "s"]).select("key", "digest", F.col("shift").cast("int").alias("first"), F.col("shift").cast("int").alias("last"))
+    if rest is not None:
+        # Strings of slots that are still large, one row for each shift.
+        shifts = rest.withColumn("shift", F.explode(F.sequence("low", "high"))).where(
+            (F.col("shift") <= F.col("before")) & (F.length("context") - F.col("before") + F.col("shift") >= LENGTH))
+        strings = shifts.select("key", "digest", "n", "shift", F.md5(F.substring("context", F.col("before") - F.col("shift") + 1, F.lit(LENGTH))).alias("s"))
+        again = strings.groupBy("key", "shift", "s").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
+        solved = solved.unionByName(strings.join(again, ["key", "shift", "s"]).select(
+            "key", "digest", F.col("shift").cast("int").alias("first"), F.col("shift").cast("int").alias("last")))
 
-    ranges = solved.unionByName(counted).groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ranges = solved.groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     # Contexts that occur twice repeat as a whole, up to the ends of the text.
     verdicts = kinds.where("n > 1").select("key", "digest", F.lit(0).alias("first"), F.lit(REACH).alias("last")).unionByName(
         kinds.where("n = 1").select("key", "digest").join(ranges, ["key", "digest"]))

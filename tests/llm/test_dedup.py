@@ -106,6 +106,26 @@ def test_repeated_bytes(spark, monkeypatch, group):
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == want
 
 
+def test_only_contexts_that_share_a_middle_are_read_again(spark, monkeypatch):
+    """A hot passage in different surroundings: the split of its anchor must not multiply the contexts."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 40)
+    rng = random.Random(3)
+    hot = "a passage that stands in all of the texts"
+    texts = [(sentence(rng, 80), sentence(rng, 80)) for _ in range(150)]
+    texts += [(texts[k][0], sentence(rng, 80)) for k in range(5)]  # the same before, not after
+    hot_rows = []
+    for k, (a, b) in enumerate(texts):
+        data = f"{a}{hot}{b}".encode()
+        hot_rows.append((7, k, 1, *suffix_dedup.context_row(data, len(a) + 4)))
+    contexts = spark.createDataFrame(hot_rows, "key long, digest long, n long, before short, context binary")
+    whole = contexts.withColumns({"low": F.lit(0), "high": F.lit(suffix_dedup.REACH)})
+    assert suffix_dedup.slots_of(whole, suffix_dedup.SLOTS[0]).count() <= 2 * len(texts)
+    parts, rest = suffix_dedup.split(contexts)
+    got = parts.collect()
+    assert rest is None and sorted(r["digest"] for r in got) == [*range(5), *range(150, 155)]
+    assert all(bytes(r["context"]) == hot_rows[r["digest"]][4] and (r["low"], r["high"]) == (91, 168) for r in got)
+
+
 def test_suffix_array():
     rng = random.Random(0)
     for _ in range(500):
