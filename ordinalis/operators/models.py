@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -125,16 +126,21 @@ GRIDS: dict[str, dict[str, list]] = {
 
 
 def run_baselines(df: DataFrame, targets: dict[str, str], models: list[str] | None = None,
-                  params: dict[str, dict] | None = None) -> DataFrame:
-    """(target, model, split, n, metrics...): every model on every target, all splits evaluated in one pass."""
-    scored = None
-    for target, column in targets.items():
-        rows = df.withColumn("y", F.col(column))
-        train = settle(rows.filter("split = 'train'").select("features", "y"))
-        for name in models or FITTERS:
-            out = FITTERS[name](train, **(params or {}).get(name, {})).score(rows)
-            out = out.select(F.lit(target).alias("target"), F.lit(name).alias("model"), "split", "id", "y", "yp", "p0")
-            scored = out if scored is None else scored.unionByName(out)
+                  params: dict[str, dict] | None = None, parallel: int = 4) -> DataFrame:
+    """(target, model, split, n, metrics...): every model on every target, all splits evaluated in one pass.
+
+    Fits run side by side as ordinary Spark jobs, `parallel` at a time; each target's training rows are weighted once.
+    """
+    rows = {target: df.withColumn("y", F.col(column)) for target, column in targets.items()}
+    with ThreadPoolExecutor(parallel) as pool:
+        trains = dict(zip(rows, pool.map(lambda r: settle(with_weights(r.filter("split = 'train'").select("features", "y"))), rows.values())))
+
+        def one(pair: tuple[str, str]) -> DataFrame:
+            target, name = pair
+            out = FITTERS[name](trains[target], **(params or {}).get(name, {})).score(rows[target])
+            return out.select(F.lit(target).alias("target"), F.lit(name).alias("model"), "split", "id", "y", "yp", "p0")
+
+        scored = reduce(DataFrame.unionByName, list(pool.map(one, product(rows, models or FITTERS))))
     return evaluate(settle(scored), ["target", "model", "split"])
 
 

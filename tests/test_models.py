@@ -45,6 +45,20 @@ def test_baselines_and_tuning(spark, rows):
     assert len(values) == 2 and best == {"reg": 0.001}
 
 
+def test_baselines_are_fitted_side_by_side(rows, monkeypatch):
+    """Every fit waits for the others: one after another they would not get past the barrier."""
+    import threading
+    together = threading.Barrier(4, timeout=60)
+
+    def fit(train, **_):
+        assert "_w" in train.columns
+        together.wait()
+        return models.fit_logistic(train, iterations=2)
+    monkeypatch.setattr(models, "FITTERS", {"one": fit, "two": fit})
+    got = models.run_baselines(rows.withColumn("t", F.col("y")), {"a": "t", "b": "y"}).collect()
+    assert {(r.target, r.model) for r in got} == {(t, m) for t in "ab" for m in ("one", "two")}
+
+
 @pytest.mark.parametrize("how", [models.isotonic_recalibrate, models.platt_recalibrate])
 def test_recalibration(rows, how):
     scored = models.fit_logistic(rows.filter("split = 'train'")).score(rows)
