@@ -145,6 +145,53 @@ def test_line_dedup(spark):
     assert got[4]["text"] is None and got[5]["text"] == "" and got[None]["text"] == line and got[6]["text"] == ""
 
 
+def test_lines_have_few_bands_and_similar_lines_share_one(spark):
+    """What a line costs in the shuffle of the bands, and that lines at the limit of similarity still meet."""
+    rng = random.Random(12)
+    pairs = []
+    for k in range(400):
+        words = sentence(rng, 6 + k % 50).split()
+        edited = list(words)
+        for _ in range(1 + len(words) // 14):
+            edited[rng.randrange(len(edited))] = sentence(rng, 1)
+        pairs.append((" ".join(words), " ".join(edited)))
+    rows = [(2 * k + j, t, b"1") for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    lines = spark.createDataFrame(rows, "id long, norm string, digest binary").withColumn("w", F.split("norm", " "))
+    bands = {r["id"]: set(r["bands"]) for r in line_dedup.with_bands(lines).collect()}
+    several = 0
+    for k, (x, y) in enumerate(pairs):
+        a, b = ({t[j:j + 5] for j in range(len(t) - 4)} for t in (x, y))
+        if len(a & b) >= 0.8 * len(a | b):
+            assert bands[2 * k] & bands[2 * k + 1]
+        for i, t in ((2 * k, x), (2 * k + 1, y)):
+            items = len({(u, v[:line_dedup.NEXT]) for u, v in zip(t.split(), [*t.split()[1:], ""], strict=True)})
+            wide = items < line_dedup.MANY or len(t) >= line_dedup.WIDE * items
+            both = wide and items >= line_dedup.FEW and len(t) < line_dedup.WIDER * items
+            several += not wide
+            assert len(bands[i]) <= (line_dedup.WORDS - 1) * (both or not wide) + (line_dedup.CHARS - line_dedup.RUN + 1) * wide
+    assert several > 300 and line_dedup.WORDS <= 10
+
+
+def test_bands_are_dealt_out_once(spark):
+    """The groups of a bucket and the join with its members read one shuffle by key, also if the members come from an aggregate."""
+    rows = spark.range(3000).select((F.col("id") % 900).alias("digest"), F.struct("id").alias("c"))
+    seen = []
+
+    def confirm(pairs):
+        seen.append(pairs)
+        return pairs
+
+    settled = common.settle
+    plans = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "settle", lambda df: plans.append(df) or settled(df))
+        keyed = rows.groupBy("digest").agg(F.min("c").alias("c")).select("c", F.explode(F.array(F.col("digest") % 50, F.col("digest") % 70 + 1000)).alias("key"))
+        common.bucket_links(keyed, confirm)
+    stars = plans[0]
+    stars.collect()
+    assert "ReusedExchange" in stars._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bucket_rounds_find_every_link(spark):
     """All members meet in one bucket; links are a chain that no comparison with the smallest shows."""
     keyed = spark.range(200).select(F.lit(1).alias("key"), F.col("id").alias("c"))
