@@ -190,3 +190,41 @@ def test_batch_sized_replicates_keep_rare_cells(spark):
     reps = bs.multinomial_counts(cm, [], 3000, batch=1000).toPandas()
     assert (reps[["n00", "n01", "n02"]].sum(axis=1) == 500).all() and (reps["n11"] == 300).all() and (reps["n22"] == 200).all()
     assert reps["n01"].mean() == pytest.approx(0.4, abs=0.06) and 0.25 < (reps["n01"] > 0).mean() < 0.42
+
+
+def test_digests_of_many_positions_are_those_of_the_keyed_hash():
+    import hashlib
+    uniforms = bs._uniforms()
+    for seed, b, y, first, n in ((42, 1, "0", 1, 1200), (42, 999, "2", 99_990, 30), (-7, 12, "1", 7, 1), (42, 1000, "1", 9_999_990, 20), (1, 7, "x" * 45, 5, 8)):
+        want = [int(hashlib.md5(f"{seed}:boot:{b}:{y}:{j}".encode()).hexdigest()[:12], 16) / 2.0**48 for j in range(first, first + n)]
+        assert uniforms(seed, b, y, first, n).tolist() == want
+
+
+def test_draws_that_cross_chunks_and_blocks_are_the_same(spark, monkeypatch):
+    df = noisy(spark, 200).withColumn("y", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("y"))).withColumn("g", F.when(F.col("g") == 1, 1))
+    rows = lambda: sorted((r.g is None, r.id, r.b, r.w) for r in bs.index_weights(df, ["g"], 7).collect())
+    whole = rows()
+    for name, value in (("_CHUNK", 8), ("_BLOCK", 16), ("_STEP", 3)):
+        monkeypatch.setattr(bs, name, value)
+    assert rows() == whole and sum(r[3] for r in whole) == 7 * 196
+
+
+@pytest.mark.parametrize("name", ["group_bootstrap"])
+def test_interval_queries_draw_a_thousand_replicates(spark, tmp_path, monkeypatch, name):
+    from ordinalis.plans import bootstrap as plans
+    from ordinalis.plans.registry import ORACLES
+    orders = spark.range(1, 61).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "100.5D + id AS o_totalprice", "'F' AS o_orderstatus",
+                                           "date'2020-01-01' AS o_orderdate", "concat(id % 5 + 1, '-X') AS o_orderpriority")
+    own = {"orders": orders, "customer": spark.range(7).selectExpr("id AS c_custkey", "'A' AS c_mktsegment", "id AS c_nationkey"),
+           "nation": spark.range(7).selectExpr("id AS n_nationkey", "id % 2 AS n_regionkey"),
+           "region": spark.range(2).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name")}
+    for table, rows in own.items():
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+
+    def asked(df, by, replicates, seed=42):
+        raise InterruptedError(f"{df.count()} rows, {replicates} replicates")
+
+    monkeypatch.setattr(bs, "index_draws", asked)
+    with pytest.raises(InterruptedError, match=f"^{360 if name == 'group_bootstrap' else 120} rows, 1000 replicates$"):
+        getattr(plans, name)(spark, str(tmp_path))
+    assert "range(1, 1001)" in ORACLES[name]
