@@ -209,7 +209,7 @@ def test_draws_that_cross_chunks_and_blocks_are_the_same(spark, monkeypatch):
     assert rows() == whole and sum(r[3] for r in whole) == 7 * 196
 
 
-@pytest.mark.parametrize("name", ["bootstrap_all_metrics", "ci_overlap", "group_bootstrap"])
+@pytest.mark.parametrize("name", ["bootstrap_all_metrics", "ci_overlap", "report_table", "group_bootstrap"])
 def test_interval_queries_draw_a_thousand_replicates(spark, tmp_path, monkeypatch, name):
     from ordinalis.plans import bootstrap as plans
     from ordinalis.plans.registry import ORACLES
