@@ -285,3 +285,53 @@ def test_lines_without_blanks_or_of_few_words(spark):
     rows = [(k, "\n".join(lines[k * 4:k * 4 + 4])) for k in range(len(lines) // 4 + 1)]
     got = {(r["id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
     assert got == plain_lines(rows)
+
+
+def test_only_near_pairs_are_compared(spark):
+    """Pairs that their marks exclude reach no comparison, in no round; the links are those found without marks."""
+    keyed = spark.range(200).select(F.lit(1).alias("key"), F.col("id").alias("c"))
+    asked = []
+
+    def confirm(pairs):
+        asked.append({tuple(r) for r in pairs.collect()})
+        return pairs.where("b = a + 50")
+
+    links = common.bucket_links(keyed, confirm, pivots=8, describe=lambda members: members.select("c", (F.col("c") % 50).alias("mark")), near=lambda a, b: a == b)
+    assert {tuple(r) for r in common.components(links).collect()} == {(i, i % 50) for i in range(200)}
+    assert len(asked) > 1 and all(a % 50 == b % 50 for pairs in asked for a, b in pairs)
+
+
+def test_marks_drop_no_similar_line(spark):
+    """Lines at, above and below the similarity asked for, by a plain comparison of every pair."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(30):
+        line = [rng.choice("abcdefghij") for _ in range(rng.choice([32, 60, 120, 400]))]
+        rows.append((len(rows), "".join(line)))
+        for edits in (1, 2, 3, len(line) // 40, len(line) // 20):
+            for _ in range(edits):
+                line[rng.randrange(len(line))] = rng.choice("klmnop")
+            rows.append((len(rows), "".join(line)))
+    sets = [{t[i:i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r["id"] for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == {i for i in range(len(rows)) if root[i] != i} and len(got) > 30
+
+
+def test_settled_tables_leave_no_shuffle(spark):
+    """The shuffles of a written table are removed at once, not when the driver collects garbage; other queries keep theirs."""
+    import time
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    shuffles = lambda: {w.split("_")[1] for w in kept().split() if w.startswith("shuffle_")}
+    before = shuffles()
+    common.settle(spark.range(1000).repartition(3).groupBy(F.col("id") % 7).count())
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
